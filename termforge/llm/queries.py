@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from termforge.llm import chat_format, packing, token_output, winnowing
+from termforge.llm import chat_format, language_id, packing, token_output, winnowing
 
 QUERIES = {
     "op1_chat_formatting": chat_format.op1_chat_formatting,
     "op7_winnowing": winnowing.op7_winnowing,
+    "op8_language_id": language_id.op8_language_id,
     "op9_token_output": token_output.op9_token_output,
     "op10_packing": packing.op10_packing,
 }

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from termforge.llm import chat_format, language_id, near_dedup, packing, token_output, winnowing
+from termforge.llm import chat_format, language_id, lm_scoring, near_dedup, packing, token_output, winnowing
 
 QUERIES = {
     "op1_chat_formatting": chat_format.op1_chat_formatting,
     "op4_near_dedup": near_dedup.op4_near_dedup,
+    "op5_lm_scoring": lm_scoring.op5_lm_scoring,
     "op7_winnowing": winnowing.op7_winnowing,
     "op8_language_id": language_id.op8_language_id,
     "op9_token_output": token_output.op9_token_output,

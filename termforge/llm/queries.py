@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from termforge.llm import chat_format, language_id, lm_scoring, near_dedup, packing, token_output, winnowing
+from termforge.llm import chat_format, html_extract, language_id, lm_scoring, near_dedup, packing, pii, token_output, winnowing
 
 QUERIES = {
     "op1_chat_formatting": chat_format.op1_chat_formatting,
+    "op3_pii": pii.op3_pii,
     "op4_near_dedup": near_dedup.op4_near_dedup,
     "op5_lm_scoring": lm_scoring.op5_lm_scoring,
+    "op6_html_extraction": html_extract.op6_html_extraction,
     "op7_winnowing": winnowing.op7_winnowing,
     "op8_language_id": language_id.op8_language_id,
     "op9_token_output": token_output.op9_token_output,

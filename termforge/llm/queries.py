@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from termforge.llm import chat_format, html_extract, language_id, lm_scoring, near_dedup, packing, pii, token_output, winnowing
+from termforge.llm import chat_format, decontaminate, html_extract, language_id, lm_scoring, near_dedup, packing, pii, token_output, winnowing
 
 QUERIES = {
     "op1_chat_formatting": chat_format.op1_chat_formatting,
+    "op2_decontamination": decontaminate.op2_decontamination,
     "op3_pii": pii.op3_pii,
     "op4_near_dedup": near_dedup.op4_near_dedup,
     "op5_lm_scoring": lm_scoring.op5_lm_scoring,

@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from termforge.llm.common import table
 from termforge.llm.tokens import gathered, small_batches
 
-STEP, TERM_BITS, RANK = 8, 14, 32
+#: RANK singular directions are used; MORE columns beyond them make the sketch of them accurate.
+STEP, TERM_BITS, RANK, MORE = 8, 14, 24, 4
 COSINE = {1: 0.9, 2: 0.85, 4: 0.8}
 LCS, PARAPHRASE, ANSWER = 0.7, 0.5, 0.8
 #: Items that one pass over the documents looks for; more items take more passes.
@@ -50,8 +51,8 @@ _WORDS = _Words()
 
 
 def hashed(text: str) -> np.ndarray:
-    """Hashes of the words of a text, in order (A-Z lower-cased, marks at word ends dropped)."""
-    raw = text.encode("utf-8", "replace").lower().split()
+    """Hashes of the words of a text, in order (lower-cased, marks at word ends dropped)."""
+    raw = text.lower().encode("utf-8", "replace").split()
     h = np.fromiter(map(_WORDS.__getitem__, raw), np.uint64, len(raw))
     return h[h > 0]
 
@@ -61,7 +62,7 @@ def _terms(h: np.ndarray) -> np.ndarray:
 
 
 def _random(seed: int = 13) -> np.ndarray:
-    return np.random.default_rng(seed).normal(size=(1 << TERM_BITS, RANK + 8)).astype(np.float32)
+    return np.random.default_rng(seed).normal(size=(1 << TERM_BITS, RANK + MORE)).astype(np.float32)
 
 
 def common_words(a: list[int], b: list[int]) -> int:
@@ -82,7 +83,7 @@ def _sketch(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
 
     A task sends tables of fixed size, in pieces; pieces are summed by piece and salt, then by piece.
     """
-    size, cols = 1 << TERM_BITS, RANK + 10
+    size, cols = 1 << TERM_BITS, RANK + MORE + 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         omega, width = _random(), STEP * 4
@@ -98,12 +99,12 @@ def _sketch(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
             starts = np.flatnonzero(place % width == 0)
             passage = np.cumsum(place % width == 0) - 1
             y = np.ascontiguousarray(np.add.reduceat(omega[terms], starts, 0).T)
-            for c in range(RANK + 8):
+            for c in range(RANK + MORE):
                 out[c] += np.bincount(terms, y[c][passage], size)
             pairs = passage * size + terms
             pairs.sort()
-            out[RANK + 8] += np.bincount(pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])] % size, minlength=size)
-            out[RANK + 9, 0] += len(starts)
+            out[RANK + MORE] += np.bincount(pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])] % size, minlength=size)
+            out[RANK + MORE + 1, 0] += len(starts)
         for i, part in enumerate(np.split(out, _CHUNKS, 1)):
             yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["chunk", "data"])
 
@@ -126,7 +127,7 @@ def _sketch(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
     for row in pieces.collect():  # tables of fixed size
         out[row["chunk"]] = np.frombuffer(row["data"]).reshape(cols, -1)
     out = np.concatenate(list(out), 1)
-    return out[RANK + 8], out[: RANK + 8].T, int(out[RANK + 9, 0])
+    return out[RANK + MORE], out[: RANK + MORE].T, int(out[RANK + MORE + 1, 0])
 
 
 def directions(docs: DataFrame) -> np.ndarray:
@@ -170,7 +171,7 @@ class Items:
             width = min(len(h), steps * STEP)
             # at least all alignments with the steps of a document; beyond those every half step
             for a in range(len(h) - width + 1):
-                if a < STEP and (steps < 4 or a % 2 == 0) or a % (STEP // 2) == 0:
+                if a < STEP and (steps == 1 or a % 2 == 0) or a % (STEP // 2) == 0:
                     found[steps].append((weights[_terms(h[a : a + width])].sum(0), n, a))
         self.queries = {k: (_unit(np.stack([x[0] for x in v])), np.array([x[1] for x in v]), np.array([x[2] for x in v])) for k, v in found.items() if v and weights.shape[1]}
 
@@ -195,7 +196,7 @@ class Items:
             sums = _unit(sums)
             for a in range(0, len(sums), 4096):
                 cos = sums[a : a + 4096] @ queries.T
-                for w, q in zip(*np.nonzero(cos >= COSINE[k])):
+                for w, q in zip(*np.divmod(np.flatnonzero(cos.ravel() >= COSINE[k]), cos.shape[1])):
                     at = int(starts[a + w])
                     key = (int(owner[a + w]), int(item[q]), int(place[at] - shift[q]))
                     tried[key] = max(tried.get(key, 0.0), float(cos[w, q]))

@@ -6,15 +6,18 @@ its space-separated pieces, in order. Pieces repeat; each is encoded once per wo
 
 from __future__ import annotations
 
+import gc
 import os
+import re
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import SparkSession
 
 TOKENIZER = "word_bpe_49k.json"
 #: A worker forgets what it has encoded beyond this many pieces or characters, so its memory is bounded.
-MOST_PIECES, MOST_CHARS = 400_000, 8_000_000
+MOST_PIECES, MOST_CHARS = 500_000, 10_000_000
 #: Texts are taken together up to this many characters.
 BATCH_CHARS = 2_000_000
 
@@ -40,8 +43,39 @@ def gathered(rows: Iterable[tuple], chars: int = BATCH_CHARS) -> Iterator[list[t
         yield held
 
 
+class _Known(dict):
+    """Numbers of pieces in order of appearance; `new` holds those that are still to be encoded."""
+
+    def __init__(self) -> None:
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = n = len(self)
+        self.new.append(piece)
+        return n
+
+
+#: Letters that no normalisation but lower-casing changes, and marks that make one piece of their own after letters.
+_PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
+_MARKS = ".,;:!?%&*#$|"
+_CLOSERS = "\"')]}»”’"
+_STOPS = frozenset(".!?。！？")
+
+
+def _byte_letters() -> dict[int, int]:
+    """Byte values to the letters that stand for them in byte-level vocabularies."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: b for b in shown} | {b: 256 + i for i, b in enumerate(hidden)}
+
+
 class PieceEncoder:
-    """Ids of lists of texts, as numpy arrays."""
+    """Ids of lists of texts, as numpy arrays.
+
+    A new piece of plain letters, with or without marks after them, is given to the tokenizer's model directly, letters
+    and marks apart, which is what its rules come to for such pieces (`plain` says whether they are the rules of this
+    tokenizer file); every other piece goes through the whole tokenizer.
+    """
 
     def __init__(self, name: str = TOKENIZER) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -49,6 +83,9 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
+        self.plain = name == TOKENIZER
+        self.marks: dict[str, list[int]] = {"": []}
         self.forget()
 
     @property
@@ -56,48 +93,74 @@ class PieceEncoder:
         return 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = _Known()
+        self.words: dict[str, list[int]] = {}
         self.chars = 0
-        self.flat = np.zeros(1 << 16, np.uint32)
+        self.flat = np.zeros(1 << 16, np.uint16 if self.width == 2 else np.uint32)
         self.used = 0
-        self.starts = np.zeros(1 << 12, np.int64)
-        self.sizes = np.zeros(1 << 12, np.int64)
+        self.starts = np.zeros(1 << 12, np.int32)
+        self.sizes = np.zeros(1 << 12, np.int32)
         self.ends = np.zeros(1 << 12, bool)
 
-    def _learn(self, pieces: list[str]) -> None:
-        new = list(set(pieces).difference(self.known))
+    def _ids(self, pieces: list[str]) -> list[list[int]]:
+        out: list[list[int] | None] = [None] * len(pieces)
+        rest, known, marked, tokenize = [], self.words, self.marks, self.model.tokenize
+        for i, piece in enumerate(pieces):
+            word = piece.rstrip(_MARKS) if self.plain and len(piece) < 100 else ""
+            if word.isalpha() and (word.isascii() or _PLAIN.fullmatch(word)):
+                marks = piece[len(word) :]
+                word = word.lower()
+                if (ids := known.get(word)) is None:
+                    shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+                    known[word] = ids = [t.id for t in tokenize(shown)]
+                if marks:
+                    if marks not in marked:
+                        marked[marks] = self.tokenizer.encode(marks, add_special_tokens=False).ids
+                    ids = ids + marked[marks]
+                out[i] = ids
+            else:
+                rest.append(i)
+        if len(self.marks) > 10_000:
+            self.marks = {"": []}
+        for i, e in zip(rest, self.tokenizer.encode_batch([pieces[i] for i in rest], add_special_tokens=False)):
+            out[i] = e.ids
+        return out
+
+    def _learn(self) -> None:
+        new = self.known.new
         if not new:
             return
-        if len(self.known) + len(new) > MOST_PIECES or self.chars > MOST_CHARS:
-            self.forget()
-            new = list(set(pieces))
-        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        found = [e.ids for e in encode(new, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        total, at, n = int(sizes.sum()), len(self.known), len(new)
+        self.known.new = []
+        found = self._ids(new)
+        sizes = np.fromiter(map(len, found), np.int32, len(found))
+        total, n = int(sizes.sum()), len(new)
+        at = len(self.known) - n
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while at + n > len(self.starts):
             self.starts, self.sizes, self.ends = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes, self.ends))
-        self.flat[self.used : self.used + total] = np.fromiter((i for ids in found for i in ids), np.uint32, total)
+        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(found), self.flat.dtype, total)
         self.starts[at : at + n] = self.used + np.cumsum(sizes) - sizes
         self.sizes[at : at + n] = sizes
-        self.ends[at : at + n] = [x == "\n" or x.rstrip("\"')]}»”’")[-1:] in (".", "!", "?", "。", "！", "？") for x in new]
-        self.known.update(zip(new, range(at, at + n)))
+        self.ends[at : at + n] = [x == "\n" or x[-1:] in _STOPS or x.rstrip(_CLOSERS)[-1:] in _STOPS for x in new]
         self.used += total
         self.chars += sum(map(len, new))
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All ids in order; the number of ids of each text; where in the ids a sentence ends."""
-        split = [t.replace("\n", " \n ").split(" ") for t in texts]
+    def encode(self, texts: list[str], sentences: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids in order; the number of ids of each text; where in the ids a sentence ends (lines count if asked for)."""
+        line = " \n " if sentences else " "
+        split = [t.replace("\n", line).split(" ") for t in texts]
         counts = np.fromiter(map(len, split), np.int64, len(split))
-        pieces = [p for s in split for p in s]
-        self._learn(pieces)
-        at = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+        if len(self.known) > MOST_PIECES or self.chars > MOST_CHARS:
+            self.forget()
+        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int32, int(counts.sum()))
+        self._learn()
         sizes = self.sizes[at]
-        after = np.cumsum(sizes)
+        after = np.cumsum(sizes, dtype=np.int64)
         total = int(after[-1]) if len(after) else 0
-        ids = self.flat[np.repeat(self.starts[at] - after + sizes, sizes) + np.arange(total)]
+        source = np.repeat((self.starts[at] - after + sizes).astype(np.int32), sizes)
+        source += np.arange(total, dtype=np.int32)
+        ids = self.flat[source]
         last = np.cumsum(counts) - 1  # every text has a piece, if an empty one
         lengths = np.diff(after[last], prepend=0) if len(last) else np.zeros(0, np.int64)
         return ids, lengths, after[self.ends[at]]
@@ -109,10 +172,16 @@ _ENCODERS: dict[str, PieceEncoder] = {}
 def encoder_for(name: str) -> PieceEncoder:
     """One encoder for each tokenizer and worker process; later tasks of the process find its pieces known."""
     if name not in _ENCODERS:
+        gc.disable()  # what an encoder keeps has no cycles, and searching it for some takes a fifth of the time
         _ENCODERS[name] = PieceEncoder(name)
     return _ENCODERS[name]
 
 
 def with_end(ids: np.ndarray, lengths: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     """Each text's ids followed by the end id; the new lengths."""
-    return np.insert(ids, np.cumsum(lengths), end), lengths + 1
+    after = np.cumsum(lengths + 1) - 1
+    out = np.full(len(ids) + len(lengths), end, np.uint32)
+    inner = np.ones(len(out), bool)
+    inner[after] = False
+    out[inner] = ids
+    return out, lengths + 1

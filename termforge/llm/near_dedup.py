@@ -10,9 +10,14 @@ Small sets leave most registers empty, so for sets of at most SMALL shingles the
 the sketch) and dealt to one part more than the shingles by which a pair at the threshold can differ, and a few
 to spare: a part in which the pair agrees is left. Sets meet in the size class of the larger one.
 
-Equal sets are one node of the graph of links, so copies are never paired. In every key, members are first compared
-with one pivot, chosen anew in each round; only members whose components still differ are then compared with one
-another. Every pair with a common key ends up either compared or known to be connected.
+Equal sets are one node of the graph of links, so copies are never paired. Pairs are never written out either:
+
+1. Rows of one key are compared in place by a short form of their registers, and only a spanning forest of the pairs
+   that may be links goes on. Its components are clusters: every link is inside one.
+2. Members of a cluster are compared in place, by registers and then by full sets, unless links found before connect
+   them already; a spanning forest of the confirmed links goes on. Its components are the result.
+
+Keys and clusters of many rows are dealt out as pairs of blocks, so no task holds one of them whole.
 """
 
 from __future__ import annotations
@@ -31,13 +36,17 @@ from termforge.llm.tokens import small_batches
 
 BUCKET_BITS, MANTISSA, BAND = 8, 10, 6
 SMALL, SPARE = 128, 3
-#: Rounds in which members of a key are compared with a pivot, before those still apart are compared with one another.
-PIVOT_ROUNDS = 2
+#: Registers in the short form, a byte each.
+BRIEF = 128
+#: Standard errors below the threshold down to which an estimate is followed up.
+ERRORS = 4.5
+#: Rows of a block of a key, and members and bytes of sets of a block of a cluster, about.
+KEY_BLOCK, CLUSTER_BLOCK, CLUSTER_BYTES = 1024, 512, 8 << 20
 #: Bits of the filter of documents that have candidates; where more documents have some, more are read again.
 FILTER_BITS = 24
 EMPTY = 0xFFFF
 _MOST_WORDS = 400_000
-_SKETCH = "doc_id bigint, n_shingles bigint, node bigint, keys array<bigint>, registers binary"
+_SKETCH = "doc_id bigint, n_shingles bigint, node bigint, keys array<bigint>, brief binary"
 
 
 class _Words(dict):
@@ -77,6 +86,11 @@ def shingles(text: str, width: int) -> np.ndarray:
     return found[np.concatenate([[True], found[1:] != found[:-1]])]
 
 
+def _node(hashes: np.ndarray) -> int | None:
+    """A 64-bit hash of a whole set; of all pairs of n different sets, n^2 / 2^65 are expected to collide."""
+    return int.from_bytes(xxhash.xxh3_64_digest(hashes.tobytes()), "big", signed=True) if len(hashes) else None
+
+
 def registers(hashes: np.ndarray) -> np.ndarray:
     """The HyperMinHash registers of sorted hashes: leading zeros, then mantissa bits, of each bucket's least."""
     at = np.searchsorted(hashes, np.arange(1 << BUCKET_BITS, dtype=np.uint64) << np.uint64(64 - BUCKET_BITS))
@@ -88,15 +102,10 @@ def registers(hashes: np.ndarray) -> np.ndarray:
     return np.where(full, out, EMPTY).astype(np.uint16)
 
 
-def estimate(a: np.ndarray, b: np.ndarray, n: float, m: float) -> tuple[float, int]:
-    """Jaccard similarity from two register arrays of sets of n and m, and the number of buckets in use."""
-    used = (a != EMPTY) | (b != EMPTY)
-    count = int(used.sum())
-    if not count:
-        return 0.0, 0
-    n, m = max(n, m), max(1.0, min(n, m))
-    chance = 0.1699194871597391 * 2 ** (BUCKET_BITS - MANTISSA) * (4 * n / m) / (1 + n / m) ** 2
-    return max(0.0, (int((used & (a == b)).sum()) - chance) / count), count
+def brief(regs: np.ndarray) -> np.ndarray:
+    """A byte for each of the first BRIEF registers: 0 if it is empty, else a hash from 1 to 255."""
+    r = regs[:BRIEF].astype(np.uint64)
+    return np.where(r == EMPTY, 0, 1 + _mixed(r + np.uint64(1)) % np.uint64(255)).astype(np.uint8)
 
 
 def size_classes(threshold: float) -> list[int]:
@@ -137,7 +146,7 @@ def band_keys(hashes: np.ndarray, regs: np.ndarray, threshold: float, classes: l
 
 
 def sketches(docs: DataFrame, width: int, threshold: float) -> DataFrame:
-    """doc_id, n_shingles, node (hash of the whole set; null without shingles), keys, registers."""
+    """doc_id, n_shingles, node (hash of the whole set; null without shingles), keys, brief registers."""
     classes = size_classes(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,32 +160,104 @@ def sketches(docs: DataFrame, width: int, threshold: float) -> DataFrame:
                     nodes.append(None), keys.append(None), regs.append(None)
                     continue
                 r = registers(h)
-                nodes.append(int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(h.tobytes())).astype(np.int64))))
+                nodes.append(_node(h))
                 keys.append(band_keys(h, r, threshold, classes).view(np.int64))
-                regs.append(r.tobytes())
+                regs.append(brief(r).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [b["doc_id"], pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(regs, pa.binary())],
-                names=["doc_id", "n_shingles", "node", "keys", "registers"],
+                names=["doc_id", "n_shingles", "node", "keys", "brief"],
             )
 
     return docs.mapInArrow(run, _SKETCH)
 
 
-def _in_reach(pairs: DataFrame, sketch: DataFrame, threshold: float) -> DataFrame:
-    """The pairs whose estimated similarity may be the threshold: not below it by five standard errors."""
-    nodes = sketch.where("node IS NOT NULL").groupBy("node").agg(F.first("registers").alias("r"), F.first("n_shingles").alias("n"))
-    joined = pairs.join(nodes.select(F.col("node").alias("a"), F.col("r").alias("ra"), F.col("n").alias("na")), "a")
-    joined = joined.join(nodes.select(F.col("node").alias("b"), F.col("r").alias("rb"), F.col("n").alias("nb")), "b")
+class _Forest:
+    """Union-find that says whether a pair is new."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            kept = []
-            for ra, rb, n, m in zip(*(b[c].to_pylist() for c in ("ra", "rb", "na", "nb"))):
-                found, used = estimate(np.frombuffer(ra, np.uint16), np.frombuffer(rb, np.uint16), n, m)
-                kept.append(found >= threshold - 5 * (threshold * (1 - threshold) / max(1, used)) ** 0.5 - 1e-9)
-            yield pa.RecordBatch.from_arrays([b["a"], b["b"]], names=["a", "b"]).filter(pa.array(kept, pa.bool_()))
+    def __init__(self) -> None:
+        self.above: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        while (up := self.above.get(x, x)) != x:
+            self.above[x] = self.above.get(up, up)
+            x = up
+        return x
+
+    def join(self, a: int, b: int) -> bool:
+        a, b = self.root(a), self.root(b)
+        if a != b:
+            self.above[max(a, b)] = min(a, b)
+        return a != b
 
-    return joined.select("a", "b", "ra", "rb", "na", "nb").mapInArrow(run, "a bigint, b bigint")
+
+def _dealt(rows: DataFrame, by: str, blocks: F.Column) -> DataFrame:
+    """rows with columns i and j: each row in as many pairs of blocks of its group as it has blocks, sorted by them."""
+    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    rows = rows.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("blocks", "other")
+    return rows.repartition(by, "i", "j").sortWithinPartitions(by, "i", "j", "node")
+
+
+def _runs(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[pa.Table]:
+    """Tables of whole groups (by, i, j), about a batch at a time, and the last group in hand until it is whole."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        keys = np.stack([b[c].to_numpy() for c in (by, "i", "j")])
+        change = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0))
+        if held and any(held[-1][c][-1].as_py() != b[c][0].as_py() for c in (by, "i", "j")):
+            yield pa.Table.from_batches(held)
+            held = []
+        if len(change):
+            cut = int(change[-1]) + 1
+            yield pa.Table.from_batches([*held, b.slice(0, cut)])
+            held = []
+            b = b.slice(cut)
+        held.append(b)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _groups(rows: pa.Table, by: str) -> np.ndarray:
+    """Numbers of the groups (by, i, j) of sorted rows."""
+    keys = np.stack([rows[c].to_numpy() for c in (by, "i", "j")])
+    return np.concatenate([[0], np.cumsum((keys[:, 1:] != keys[:, :-1]).any(0))])
+
+
+def candidate_forest(bands: DataFrame, percent: int) -> DataFrame:
+    """(key, node, n, brief) -> pairs (a, b) that span, in each task, what may be linked under a common key."""
+    t = percent / 100
+    sizes = bands.groupBy("key").agg(F.count("*").alias("k"))
+    rows = _dealt(bands.join(sizes, "key"), "key", F.ceil(F.col("k") / KEY_BLOCK)).select("key", "i", "j", "own", "node", "n", "brief")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest = _Forest()
+        for rows in _runs(batches, "key"):
+            group, node, n, own = _groups(rows, "key"), rows["node"].to_numpy(), rows["n"].to_numpy(), rows["own"].to_numpy()
+            regs = np.frombuffer(b"".join(rows["brief"].to_pylist()), np.uint8).reshape(-1, BRIEF)
+            square = rows["i"].to_numpy() == rows["j"].to_numpy()
+            at, a, b, lag = np.arange(len(node)), [], [], 1
+            while len(at := at[: np.searchsorted(at, len(node) - lag)]) and len(at := at[group[at] == group[at + lag]]):
+                x, y = at, at + lag
+                fit = (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])) & (node[x] != node[y]) & (square[x] | (own[x] != own[y]))
+                x, y = x[fit], y[fit]
+                if len(x):
+                    p, q = regs[x], regs[y]
+                    used = ((p > 0) | (q > 0)).sum(1)
+                    found = (((p == q) & (p > 0)).sum(1) / np.maximum(used, 1) - 1 / 255) / (1 - 1 / 255)
+                    near = (used == 0) | (found >= t - ERRORS * np.sqrt(t * (1 - t) / np.maximum(used, 1)))
+                    a.append(node[x[near]])
+                    b.append(node[y[near]])
+                lag += 1
+            if a:
+                pairs = [(x, y) for x, y in zip(np.concatenate(a).tolist(), np.concatenate(b).tolist()) if forest.join(x, y)]
+                if pairs:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*pairs)], names=["a", "b"])
+            if len(forest.above) > 500_000:
+                forest = _Forest()
+
+    return rows.mapInArrow(run, "a bigint, b bigint")
 
 
 def _filter_of(ids: DataFrame) -> np.ndarray:
@@ -189,11 +270,10 @@ def _filter_of(ids: DataFrame) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, sketch: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs of nodes with 100 * intersection >= percent * union, on full sets."""
+def sets_of(clusters: DataFrame, docs: DataFrame, sketch: DataFrame, width: int) -> DataFrame:
+    """(node, root) -> node, root, n, hashes: the full set of every node, from the text of its first document."""
     spark = docs.sparkSession
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    needed = stored(sketch.join(nodes, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "needed")
+    needed = stored(sketch.join(clusters, "node").groupBy("node", "root").agg(F.min("doc_id").alias("doc_id")), "needed")
     bits = spark.sparkContext.broadcast(_filter_of(needed))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,29 +284,59 @@ def confirmed(pairs: DataFrame, docs: DataFrame, sketch: DataFrame, width: int,
             at = np.flatnonzero(words[(h >> np.uint64(6)).astype(np.int64)] >> (h & np.uint64(63)) & np.uint64(1))
             if len(at):
                 some = b.take(pa.array(at))
-                found = [shingles(t, width).tobytes() for t in some["text"].to_pylist()]
-                yield pa.RecordBatch.from_arrays([some["doc_id"], pa.array(found, pa.binary())], names=["doc_id", "hashes"])
+                found = [shingles(t, width) for t in some["text"].to_pylist()]
+                nodes = [_node(h) for h in found]
+                yield pa.RecordBatch.from_arrays([some["doc_id"], pa.array(nodes, pa.int64()), pa.array(list(map(len, found)), pa.int64()), pa.array([h.tobytes() for h in found], pa.binary())], names=["doc_id", "node", "n", "hashes"])
 
     hashed = docs.where("doc_id IS NOT NULL").select("doc_id", "text", F.xxhash64("doc_id").bitwiseAND((1 << FILTER_BITS) - 1).alias("h"))
-    held = stored(hashed.mapInArrow(sets, "doc_id bigint, hashes binary").join(needed, "doc_id").select("node", "hashes"), "sets")
-    joined = pairs.join(held.select(F.col("node").alias("a"), F.col("hashes").alias("ha")), "a").join(held.select(F.col("node").alias("b"), F.col("hashes").alias("hb")), "b")
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept = []
-            for x, y in zip(batch["ha"].to_pylist(), batch["hb"].to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.concatenate([x, y])
+    found = hashed.mapInArrow(sets, "doc_id bigint, node bigint, n bigint, hashes binary").join(needed, ["doc_id", "node"])
+    return stored(found.dropDuplicates(["node"]).select("node", "root", "n", "hashes"), "sets")
+
+
+def confirmed_forest(sets: DataFrame, percent: int) -> DataFrame:
+    """(node, root, n, hashes) -> links (a, b) with 100 * intersection >= percent * union that span those of each block."""
+    t = percent / 100
+    sizes = sets.groupBy("root").agg(F.count("*").alias("k"), F.sum(8 * F.col("n")).alias("bytes"))
+    blocks = F.greatest(F.ceil(F.col("k") / CLUSTER_BLOCK), F.least(F.ceil(F.col("bytes") / CLUSTER_BYTES), F.col("k")))
+    rows = _dealt(sets.join(sizes, "root"), "root", blocks).select("root", "i", "j", "own", "node", "n", "hashes")
+
+    def compare(node: list[int], sets: list[np.ndarray], own: np.ndarray, square: bool) -> list[tuple[int, int]]:
+        n = np.array(list(map(len, sets)))
+        forest, out = _Forest(), []
+        regs = np.stack([registers(h) for h in sets]) if len(sets) > 2 else None
+        for x in range(len(node)):
+            y = np.arange(x + 1, len(node))
+            y = y[(100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])) & (square | (own[x] != own[y]))]
+            if regs is not None and len(y):
+                used = (regs[x] != EMPTY) | (regs[y] != EMPTY)
+                count = np.maximum(used.sum(1), 1)
+                high, low = np.maximum(n[x], n[y]), np.minimum(n[x], n[y])
+                chance = 0.1699194871597391 * 2 ** (BUCKET_BITS - MANTISSA) * (4 * high / low) / (1 + high / low) ** 2
+                found = (((regs[x] == regs[y]) & used).sum(1) - chance) / count
+                near = found >= t - ERRORS * np.sqrt(t * (1 - t) / count)
+                y = y[near][np.argsort(-found[near], kind="stable")]
+            for k in y.tolist():
+                if forest.root(node[x]) == forest.root(node[k]):
+                    continue
+                both = np.concatenate([sets[x], sets[k]])
                 both.sort(kind="stable")
                 common = int((both[1:] == both[:-1]).sum())
-                kept.append(100 * common >= percent * (len(both) - common))
-            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["a", "b"]).filter(pa.array(kept, pa.bool_()))
-
-    return joined.select("a", "b", "ha", "hb").mapInArrow(check, "a bigint, b bigint").distinct()
+                if 100 * common >= percent * (len(both) - common) and forest.join(node[x], node[k]):
+                    out.append((node[x], node[k]))
+        return out
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        np.seterr(over="ignore")
+        for rows in _runs(batches, "root"):
+            group = _groups(rows, "root")
+            starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])).tolist()
+            node, own, square = rows["node"].to_pylist(), rows["own"].to_numpy(), (rows["i"].to_numpy() == rows["j"].to_numpy())
+            hashes = [np.frombuffer(h, np.uint64) for h in rows["hashes"].to_pylist()]
+            links = [x for a, b in zip(starts, [*starts[1:], len(node)]) if b - a > 1 for x in compare(node[a:b], hashes[a:b], own[a:b], bool(square[a]))]
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links)], names=["a", "b"])
 
-def _ordered(a: F.Column, b: F.Column) -> list[F.Column]:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+    return rows.mapInArrow(run, "a bigint, b bigint")
 
 
 def near_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -243,35 +353,13 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     sketch = stored(sketches(docs, width, threshold), "sketch")
     named = sketch.where("node IS NOT NULL AND doc_id IS NOT NULL")
     bands = named.select(F.explode("keys").alias("key"), "node", F.col("n_shingles").alias("n"))
-    fits = F.expr(f"100 * least(n, m) >= {percent} * greatest(n, m)")
-    # Keys of one node only are left behind at once; only what remains is read again.
+    # Keys of one node only are left behind at once; only what remains carries registers and is compared.
     shared = bands.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key")
-    bands = stored(bands.join(shared, "key").distinct(), "bands")
-    links, roots = None, None
-    for turn in range(PIVOT_ROUNDS + 1):
-        labelled = bands.withColumn("root", F.col("node"))
-        if roots is not None:
-            labelled = bands.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-            apart = labelled.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-            labelled = labelled.join(apart, "key")
-        if turn < PIVOT_ROUNDS:
-            pivots = labelled.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", "key", F.lit(turn)).alias("h"), "node", "n", "root")).alias("p"))
-            pivots = pivots.select("key", F.col("p.node").alias("other"), F.col("p.n").alias("m"), F.col("p.root").alias("other_root"))
-            pairs = labelled.join(pivots, "key").where("root <> other_root").where(fits).select(*_ordered(F.col("node"), F.col("other"))).distinct()
-        else:
-            other = labelled.select("key", F.col("node").alias("other"), F.col("n").alias("m"), F.col("root").alias("other_root"))
-            pairs = labelled.join(other, "key").where("node < other AND root <> other_root").where(fits).select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
-        if links is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        if pairs.isEmpty():
-            continue
-        tried = pairs if links is None else tried.unionByName(pairs)
-        near = stored(confirmed(stored(_in_reach(pairs, sketch, threshold), "reach"), docs, sketch, width, percent), "near")
-        links = near if links is None else links.unionByName(near)
-        roots = stored(connected(links).select("node", "root"), "roots")
-    if roots is None:
-        roots = spark.createDataFrame([], "node bigint, root bigint")
+    briefs = named.groupBy("node").agg(F.first("brief").alias("brief"))
+    bands = stored(bands.join(shared, "key").distinct().join(briefs, "node"), "bands")
+    clusters = connected(candidate_forest(bands, percent))
+    links = confirmed_forest(sets_of(clusters, docs, sketch, width), percent)
+    roots = connected(links)
     rooted = sketch.select("doc_id", "n_shingles", "node").join(roots, "node", "left")
     rooted = stored(rooted.select("doc_id", "n_shingles", F.coalesce("root", "node").alias("root")), "rooted")
     least = rooted.where("root IS NOT NULL AND doc_id IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))

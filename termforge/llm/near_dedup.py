@@ -40,6 +40,8 @@ SMALL, SPARE = 128, 3
 BRIEF = 128
 #: Standard errors below the threshold down to which an estimate is followed up.
 ERRORS = 4.5
+#: One key in so many is looked at first.
+FIRST_KEYS = 6
 #: Rows of a block of a key, and members and bytes of sets of a block of a cluster, about.
 KEY_BLOCK, CLUSTER_BLOCK, CLUSTER_BYTES = 1024, 512, 8 << 20
 #: Bits of the filter of documents that have candidates; where more documents have some, more are read again.
@@ -226,15 +228,18 @@ def _groups(rows: pa.Table, by: str) -> np.ndarray:
 
 
 def candidate_forest(bands: DataFrame, percent: int) -> DataFrame:
-    """(key, node, n, brief) -> pairs (a, b) that span, in each task, what may be linked under a common key."""
+    """(key, node, label, n, brief) -> pairs (a, b) of labels that span, in each task, what may be linked under a common key.
+
+    Nodes of one label are known to be in one cluster and aren't compared.
+    """
     t = percent / 100
     sizes = bands.groupBy("key").agg(F.count("*").alias("k"))
-    rows = _dealt(bands.join(sizes, "key"), "key", F.ceil(F.col("k") / KEY_BLOCK)).select("key", "i", "j", "own", "node", "n", "brief")
+    rows = _dealt(bands.join(sizes, "key"), "key", F.ceil(F.col("k") / KEY_BLOCK)).select("key", "i", "j", "own", "label", "n", "brief")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = _Forest()
         for rows in _runs(batches, "key"):
-            group, node, n, own = _groups(rows, "key"), rows["node"].to_numpy(), rows["n"].to_numpy(), rows["own"].to_numpy()
+            group, node, n, own = _groups(rows, "key"), rows["label"].to_numpy(), rows["n"].to_numpy(), rows["own"].to_numpy()
             regs = np.frombuffer(b"".join(rows["brief"].to_pylist()), np.uint8).reshape(-1, BRIEF)
             square = rows["i"].to_numpy() == rows["j"].to_numpy()
             at, a, b, lag = np.arange(len(node)), [], [], 1
@@ -357,7 +362,12 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     shared = bands.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key")
     briefs = named.groupBy("node").agg(F.first("brief").alias("brief"))
     bands = stored(bands.join(shared, "key").distinct().join(briefs, "node"), "bands")
-    clusters = connected(candidate_forest(bands, percent))
+    # A share of the keys connects most of what belongs together, so the others have little to say about it.
+    first = F.pmod(F.xxhash64("key"), F.lit(FIRST_KEYS)) == 0
+    forest = stored(candidate_forest(bands.where(first).withColumn("label", F.col("node")), percent), "forest")
+    labelled = bands.where(~first).join(connected(forest).withColumnRenamed("root", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    apart = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
+    clusters = connected(forest.unionByName(candidate_forest(labelled.join(apart, "key"), percent)))
     links = confirmed_forest(sets_of(clusters, docs, sketch, width), percent)
     roots = connected(links)
     rooted = sketch.select("doc_id", "n_shingles", "node").join(roots, "node", "left")

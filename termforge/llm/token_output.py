@@ -28,6 +28,7 @@ BLOCK_IDS = 1 << 18
 NO_ID = -(1 << 63)
 #: Byte counts of four ids by control byte.
 TABLE = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8) + 1
+_IDS = "part int, seq bigint, at bigint, doc_id bigint, ids binary, counts binary"
 _FILE = "part int, block bigint, at bigint, n_docs bigint, n_ids bigint, doc_ids binary, lengths binary, control binary, data binary"
 
 
@@ -57,43 +58,48 @@ def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
 def token_ids(docs: DataFrame, tokenizer: str = TOKENIZER, end: int = END) -> DataFrame:
     """part, seq, at, doc_id, ids (binary, little-endian, 2 or 4 bytes each), ascending by part and doc_id.
 
-    seq numbers the rows of a part, and at counts the ids before a row in its part.
+    seq numbers the rows of a part, and at counts the ids before a row in its part. Last comes a row without part
+    whose `counts` has the number of times that the part has each id.
     """
     spark = docs.sparkSession
     small_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_for(tokenizer)
+        counts = np.zeros(encoder.tokenizer.get_vocab_size() + end + 1, np.int64)
         seq = at = 0
         rows = (r for b in batches for r in zip(zip(b["part"].to_pylist(), b["doc_id"].to_pylist()), b["text"].to_pylist()))
         for group in gathered(rows):
-            ids, lengths = with_end(*encoder.encode([t for _, t in group])[:2], end)
+            ids, lengths = with_end(*encoder.encode([t for _, t in group], sentences=False)[:2], end)
+            found = np.bincount(ids)
+            counts[: len(found)] += found
             raw = ids.astype(f"<u{encoder.width}")
             cuts = np.concatenate([[0], np.cumsum(lengths)])
             yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k, _ in group], pa.int32()), pa.array(seq + np.arange(len(group))), pa.array(at + cuts[:-1]), pa.array([k[1] for k, _ in group], pa.int64()), pa.array([raw[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())],
-                names=["part", "seq", "at", "doc_id", "ids"],
+                [pa.array([k[0] for k, _ in group], pa.int32()), pa.array(seq + np.arange(len(group))), pa.array(at + cuts[:-1]), pa.array([k[1] for k, _ in group], pa.int64()), pa.array([raw[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary()), pa.nulls(len(group), pa.binary())],
+                names=[x.split()[0] for x in _IDS.split(", ")],
             )
             seq, at = seq + len(group), at + int(cuts[-1])
+        if seq:
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(1, t) for t in (pa.int32(), *[pa.int64()] * 3, pa.binary())), pa.array([counts.tobytes()], pa.binary())], names=[x.split()[0] for x in _IDS.split(", ")])
 
     ranged = documents(docs).repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text").withColumn("part", F.spark_partition_id())
-    return ranged.mapInArrow(run, "part int, seq bigint, at bigint, doc_id bigint, ids binary")
+    return ranged.mapInArrow(run, _IDS)
 
 
-def rank_ids(ids: DataFrame, width: int, size: int) -> np.ndarray:
+def rank_ids(ids: DataFrame, size: int) -> np.ndarray:
     """The rank of every id of the vocabulary by its count over all rows; ties by id."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(size, np.int64)
         for b in batches:
-            for raw in b["ids"].to_pylist():
-                found = np.bincount(np.frombuffer(raw, f"<u{width}"))
-                counts[: len(found)] += found
+            for raw in b["counts"].to_pylist():
+                counts += np.frombuffer(raw, np.int64)
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["id", "n"])
 
     counts = np.zeros(size, np.int64)
-    for row in ids.select("ids").mapInArrow(count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect():  # a row an id at most
+    for row in ids.select("counts").where("counts IS NOT NULL").mapInArrow(count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect():  # a row an id at most
         counts[row["id"]] = row["n"]
     ranks = np.empty(size, np.int64)
     ranks[np.lexsort((np.arange(size), -counts))] = np.arange(size)
@@ -110,7 +116,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, en
     encoder = PieceEncoder(tokenizer)
     width, size = encoder.width, encoder.tokenizer.get_vocab_size() + end + 1
     ids = stored(token_ids(docs, tokenizer, end), "ids", compression="zstd")
-    ranks = rank_ids(ids, width, size)
+    ranks = rank_ids(ids, size)
     spark.createDataFrame([(np.argsort(ranks).astype("<u4").tobytes(),)], "ids binary").coalesce(1).write.parquet(f"{path}/ranks")
     shared = spark.sparkContext.broadcast(ranks)  # as long as the vocabulary
 
@@ -137,11 +143,11 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, en
         if held:
             yield block()
 
-    ids.mapInArrow(write, _FILE).sortWithinPartitions("part", "block").write.partitionBy("part").option("compression", "none").parquet(f"{path}/ids")
+    ids.where("part IS NOT NULL").drop("counts").mapInArrow(write, _FILE).sortWithinPartitions("part", "block").write.partitionBy("part").option("compression", "none").parquet(f"{path}/ids")
 
 
-def read_token_files(spark: SparkSession, path: str) -> DataFrame:
-    """Decode token files: doc_id, start, n_tokens, ids (binary, 32-bit little-endian)."""
+def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
+    """Decode token files: doc_id, start, n_tokens, ids_crc32 and, if asked for, ids (both of 32-bit little-endian ids)."""
     blocks = spark.read.schema(_FILE).parquet(f"{path}/ids")
     parts = blocks.groupBy("part").agg(F.sum("n_ids").alias("all"))  # a row an id range
     parts = parts.select("part", (F.sum("all").over(Window.orderBy("part")) - F.col("all")).alias("before"))
@@ -156,21 +162,17 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                 lengths = np.frombuffer(lengths, "<i8")
                 cuts = np.concatenate([[0], np.cumsum(lengths)])
                 named = np.frombuffer(named, "<i8")
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(named, pa.int64(), mask=named == NO_ID), pa.array(cuts[:-1] + start), pa.array(lengths), pa.array([ids[a:z].tobytes() for a, z in zip(cuts[:-1], cuts[1:])], pa.binary())],
-                    names=["doc_id", "start", "n_tokens", "ids"],
-                )
+                raw = memoryview(ids.astype("<u4")).cast("B")
+                each = [raw[4 * a : 4 * z] for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+                columns = [pa.array(named, pa.int64(), mask=named == NO_ID), pa.array(cuts[:-1] + start), pa.array(lengths), pa.array(list(map(zlib.crc32, each)), pa.int64())]
+                if with_ids:
+                    columns.append(pa.array(list(map(bytes, each)), pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(columns)])
 
-    return blocks.join(F.broadcast(parts), "part").withColumn("start", F.col("at") + F.col("before")).mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, ids binary")
+    return blocks.join(F.broadcast(parts), "part").withColumn("start", F.col("at") + F.col("before")).mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids binary" * with_ids)
 
 
 def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/termforge/tokens-{uuid.uuid4().hex}"
     write_token_files(table(spark, sf_dir, "documents"), path)
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            crc = pa.array([zlib.crc32(x) for x in b["ids"].to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([b["doc_id"], b["start"], b["n_tokens"], crc], names=["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return read_token_files(spark, path).mapInArrow(digest, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return read_token_files(spark, path, with_ids=False)

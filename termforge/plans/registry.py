@@ -1,10 +1,359 @@
-"""Registered queries over the library's own operators."""
+"""Registered queries over the library's own operators, and the same in DuckDB SQL.
+
+The word list of these queries is a fixture: the FIXTURE most frequent a-z words of the English documents, which both
+engines can compute. The product takes a list from its user and never learns one from the documents.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from functools import cache
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from termforge.config import Config
+from termforge.functions import text as X
+from termforge.operators import analysis, canonical, definition, gates, lexicon, shape, tokenize, topical
+from termforge.plans import extraction
+from termforge.resources import Resources, bundled, entries, lemma_entries
+
+FIXTURE, FREQUENT = 2000, 500
+CONFIG = Config(wordlist_size=FIXTURE, acronym_wordlist_depth=FREQUENT)
+GRID = [(0, 0.55, 0.30), (1, 0.55, 0.38), (2, 0.55, 0.42), (3, 0.70, 0.38), (4, 0.75, 0.55)]
+
+
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang")
+
+
+def _resources(spark: SparkSession, d: str) -> Resources:
+    words = _docs(spark, d).where("lang = 'en'").selectExpr("explode(regexp_extract_all(lower(text), '[a-z]+', 0)) AS word").groupBy("word").count()
+    top = words.orderBy(F.desc("count"), "word").limit(FIXTURE)
+    ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("count"), "word")) - 1).select("word", "rank")  # FIXTURE rows
+    stops = spark.createDataFrame([(w,) for w in sorted(set(entries(bundled("stopwords.txt"))))], "word string")
+    lemmas = spark.createDataFrame(lemma_entries(bundled("lemmas.txt")), "inflected string, lemma string")
+    return Resources(ranked, stops, lemmas, CONFIG, (), FIXTURE)
+
+
+class _Base:
+    """The frames that most queries start from."""
+
+    def __init__(self, spark: SparkSession, d: str) -> None:
+        self.docs = canonical.canonicalise(_docs(spark, d))
+        self.pieces = tokenize.with_clauses(tokenize.sentences(tokenize.placed(self.docs)))
+        self.plain = tokenize.tokens(self.pieces)
+        self.resources = _resources(spark, d)
+        self.tokens = lexicon.with_lexicon(self.plain, self.resources)
+        self.clauses = tokenize.clauses(self.pieces)
+
+
+def canonical_text(spark, d):
+    return canonical.canonicalise(_docs(spark, d)).select("doc_id", "canonical", F.length("canonical").cast("long").alias("n_chars"), F.octet_length("canonical").cast("long").alias("n_bytes"))
+
+
+def content_hash(spark, d):
+    return canonical.canonicalise(_docs(spark, d)).select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("hash_exact"), F.sha2(F.col("canonical").cast("binary"), 256).alias("hash_canonical"))
+
+
+def sentences(spark, d):
+    return _Base(spark, d).pieces.select("doc_id", F.col("sent").cast("long"), "piece", "start", "end", "kept")
+
+
+def clauses(spark, d):
+    return _Base(spark, d).clauses.select("doc_id", F.col("clause").cast("long"), "start", "end", "text")
+
+
+def token_spans(spark, d):
+    return _Base(spark, d).plain.select("doc_id", F.col("idx").cast("long"), "token", "lower", "start", "end", F.col("line").cast("long"), F.col("clause").cast("long"), F.col("at").cast("long"))
+
+
+def token_features(spark, d):
+    words = _Base(spark, d).plain.select("token").distinct()
+    return words.selectExpr("token", f"{X.has_internal_caps('token')} AS internal_caps", f"{X.has_digit('token')} AS digit", f"{X.all_caps('token')} AS all_caps", f"{X.short_all_caps('token')} AS short_all_caps", f"{X.long_all_caps('token')} AS long_all_caps", f"cast({X.segments('token')} AS bigint) AS segments")
+
+
+def vocab_common(spark, d):
+    b = _Base(spark, d)
+    return lexicon.vocabulary(b.plain, b.resources)
+
+
+def caps_runs(spark, d):
+    return shape.with_acronyms(_Base(spark, d).tokens).where("caps").select("doc_id", F.col("idx").cast("long"), "token", F.col("run").cast("long"), "acronym")
+
+
+def _candidates(spark, d):
+    return shape.candidates(_Base(spark, d).tokens, CONFIG)
+
+
+
+
+def _flat(rows: DataFrame, *columns: str) -> DataFrame:
+    return rows.withColumns({"first_start": F.col("offsets")[0]["start"], "first_end": F.col("offsets")[0]["end"], "score": F.round("score", 6), "frequency": F.col("frequency").cast("long")}).select(*columns)
+
+
+def shape_unigrams(spark, d):
+    rows = shape.scored(shape.unigrams(shape.with_acronyms(_Base(spark, d).tokens)), CONFIG)
+    return _flat(rows, "doc_id", "normalised", "surface", "kind", "score", "frequency", "first_start", "first_end")
+
+
+def shape_phrases(spark, d):
+    rows = shape.scored(shape.phrases(shape.with_acronyms(_planted(spark, d).tokens)), CONFIG)
+    return _flat(rows, "doc_id", "normalised", "surface", "kind", "score", "frequency", "first_start", "first_end")
+
+
+def shape_ranked(spark, d):
+    rows = shape.keywords(shape.scored(shape.unigrams(shape.with_acronyms(_Base(spark, d).tokens)), CONFIG), CONFIG)
+    return _flat(extraction.ranked(rows), "doc_id", "kind", F.col("rank").cast("long").alias("rank"), "normalised", "score")
+
+
+def near_misses(spark, d):
+    rows = shape.scored(shape.unigrams(shape.with_acronyms(_Base(spark, d).tokens)), CONFIG)
+    return analysis.near_misses(rows, CONFIG, 15).select("doc_id", F.col("place").cast("long"), "normalised", F.round("score", 6).alias("score"))
+
+
+def explain_components(spark, d):
+    rows = shape.scored(shape.unigrams(shape.with_acronyms(_Base(spark, d).tokens)), CONFIG)
+    return analysis.components(rows, CONFIG).groupBy("name").agg(F.count("*").alias("n"), F.round(F.sum("contribution"), 4).alias("contribution"))
+
+
+def term_statistics(spark, d):
+    return topical.term_statistics(_Base(spark, d).tokens).select("doc_id", "lower", *(F.col(c).cast("long") for c in ("tf", "uppercase", "acronym", "n_clauses", "n_left", "n_right")), "median_clause")
+
+
+def _scores(b: _Base) -> DataFrame:
+    totals = b.pieces.where("kept").groupBy("doc_id").agg(F.count_distinct("clause").alias("total"))
+    return topical.term_scores(topical.term_statistics(b.tokens), totals)
+
+
+def term_scores(spark, d):
+    return _scores(_Base(spark, d)).select("doc_id", "lower", F.round("score", 6).alias("score"))
+
+
+def ngram_candidates(spark, d):
+    b = _Base(spark, d)
+    rows = topical.phrases(b.tokens, _scores(b), CONFIG)
+    return rows.select("doc_id", "normalised", F.round("raw", 6).alias("raw"), F.col("frequency").cast("long"), F.col("offsets")[0]["start"].alias("first_start"))
+
+
+def topical_scored(spark, d):
+    b = _Base(spark, d)
+    rows = topical.phrases(b.tokens, _scores(b), CONFIG).where(f"round(raw, 9) <= {CONFIG.thresholds.topical}D")
+    return rows.select("doc_id", "normalised", F.round(1 / (1 + F.col("raw")), 6).alias("score"))
+
+
+def topical_dedup(spark, d):
+    b = _Base(spark, d)
+    return topical.deduplicated(topical.phrases(b.tokens, _scores(b), CONFIG), CONFIG).select("doc_id", "normalised", F.round("raw", 6).alias("raw"))
+
+
+def prose_measures(spark, d):
+    b = _Base(spark, d)
+    rows = gates.prose_measures(b.docs, b.tokens, b.clauses)
+    return rows.select("doc_id", F.col("tokens").cast("long"), *(F.round(c, 6).alias(c) for c in ("stopword_ratio", "mean_sentence_len", "table_line_ratio")))
+
+
+def language_scores(spark, d):
+    return gates.language(canonical.canonicalise(_docs(spark, d))).select("doc_id", "language", F.round("confidence", 6).alias("confidence"), "fully_supported")
+
+
+def prose_verdict(spark, d):
+    b = _Base(spark, d)
+    docs = gates.language(b.docs).select("doc_id", "language", F.lit(False).alias("tabular"))
+    return gates.verdict(gates.prose_measures(b.docs, b.tokens, b.clauses).join(docs, "doc_id"), CONFIG).select("doc_id", "reason", "is_prose")
+
+
+def _planted(spark, d):
+    """Texts with known terms, written from the names of parts and suppliers."""
+
+    class Planted(_Base):
+        def __init__(self) -> None:
+            rows = spark.read.parquet(f"{d}/supplier.parquet").selectExpr(
+                "cast(s_suppkey AS bigint) AS doc_id",
+                "concat('The General Parts Index (GPI) lists order DS-', lpad(s_suppkey, 5, '0'), ' of the supplier. We use MabSelect SuRe', s_suppkey % 3, ' and LoRa WAn here.\\nRead the HPLC note (high pressure liquid chromatography) and the GPI again.') AS text",
+            )
+            self.docs = canonical.canonicalise(rows)
+            self.pieces = tokenize.with_clauses(tokenize.sentences(tokenize.placed(self.docs)))
+            self.resources = _resources(spark, d)
+            self.tokens = lexicon.with_lexicon(tokenize.tokens(self.pieces), self.resources)
+            self.clauses = tokenize.clauses(self.pieces)
+
+    return Planted()
+
+
+def definitions(spark, d):
+    b = _planted(spark, d)
+    rows = definition.definitions(b.clauses, b.resources)
+    return rows.select("doc_id", "original_keyword", "normalised", "expansion", "frequency", F.col("offsets")[0]["start"].alias("first_start"))
+
+
+def _extraction(spark, d):
+    return extraction.extract(extraction.sourced(_docs(spark, d)), CONFIG, _resources(spark, d))
+
+
+def keyword_union(spark, d):
+    return _extraction(spark, d).keywords.select("doc_id", "kind", F.col("rank").cast("long"), "origin", "original_keyword", "normalised", F.round("score", 6).alias("score"), F.col("frequency").cast("long"), "expansion")
+
+
+def top_per_kind(spark, d):
+    return extraction.top_per_kind(keyword_union(spark, d), 5)
+
+
+def without_repeats(spark, d):
+    return extraction.without_repeats(keyword_union(spark, d))
+
+
+def status_tally(spark, d):
+    return analysis.tally(extraction.gated(extraction.sourced(_docs(spark, d)), CONFIG))
+
+
+def results(spark, d):
+    return _extraction(spark, d).results().select("doc_id", "status", "own_content_length", "hash_canonical", F.size("keywords").cast("long").alias("n_keywords"), "version")
+
+
+def resolved_spans(spark, d):
+    x = _extraction(spark, d)
+    texts = extraction.canonical_texts(extraction.sourced(_docs(spark, d)))
+    return extraction.resolved(x.keywords.where("kind = 'Identifier'"), texts).select("doc_id", "normalised", "start", "end", "found")
+
+
+def sweep_grid(spark, d):
+    grid = spark.createDataFrame(GRID, "point bigint, identifier double, technical double")
+    rows = shape.scored(shape.unigrams(shape.with_acronyms(_Base(spark, d).tokens)), CONFIG)
+    return analysis.emissions(rows, grid).groupBy("point", "kind").agg(F.count("*").alias("emitted"), F.count_distinct("doc_id").alias("documents"))
+
+
+def span_scoring(spark, d):
+    grid = spark.createDataFrame(GRID, "point bigint, identifier double, technical double")
+    b = _planted(spark, d)
+    emitted = analysis.emissions(shape.candidates(b.tokens, CONFIG), grid)
+    at = "instr(canonical, 'DS-') - 1"
+    plants = b.docs.selectExpr("doc_id", f"cast({at} AS bigint) AS start", f"cast({at} + 8 AS bigint) AS end", "'Easy' AS tier", "false AS is_distractor")
+    return analysis.recalled(plants, emitted).groupBy("point").agg(F.count("*").alias("planted"), F.sum(F.col("found").cast("long")).alias("found"))
+
+
+def frontier(spark, d):
+    points = spark.createDataFrame([(0, 0.5, 13.5), (1, 0.21, 12.0), (2, 0.7, 40.0)], "point bigint, HardReachable double, false_per_1k double")
+    budgets = spark.createDataFrame([(12.5,), (20.0,), (100.0,)], "budget double")
+    return analysis.frontier(points, budgets)
+
+
+def baselines(spark, d):
+    t = _Base(spark, d).tokens
+    both = analysis.digit_baseline(t).withColumn("baseline", F.lit("digit")).unionByName(analysis.absent_baseline(t).withColumn("baseline", F.lit("absent")))
+    return both.groupBy("baseline").agg(F.count("*").alias("spans"), F.sum("start").alias("starts"), F.sum("end").alias("ends"))
+
+
+_NAMES = (
+    "shape_ranked canonical_text content_hash sentences clauses token_spans token_features vocab_common caps_runs shape_unigrams shape_phrases near_misses explain_components "
+    "term_statistics term_scores ngram_candidates topical_scored topical_dedup prose_measures language_scores prose_verdict definitions keyword_union top_per_kind without_repeats "
+    "status_tally results resolved_spans sweep_grid span_scoring frontier baselines"
+).split()
+QUERIES = {n: globals()[n] for n in _NAMES}
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shape_ranked(spark, sf_dir)
+
+
+@cache
+def _with() -> str:
+    quoted = lambda w: "'" + w.replace("'", "''") + "'"
+    stops = ", ".join(f"({quoted(w)})" for w in sorted(set(entries(bundled("stopwords.txt")))))
+    lemmas = ", ".join(f"({quoted(a)}, {quoted(b)})" for a, b in lemma_entries(bundled("lemmas.txt")))
+    w = CONFIG.shape_weights
+    return rf"""WITH canon0 AS (SELECT doc_id, lang, regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g') AS t FROM documents),
+canon AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '(\p{{L}})-[ \t]*\n([ \t]*\p{{Ll}})', '\1\2', 'g'), '[ \t]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g') AS canonical FROM canon0),
+split_ AS (SELECT doc_id, string_split(replace(regexp_replace(canonical, '([.!?])(\s+[\p{{Lu}}0-9])', '\1' || chr(1) || '\2', 'g'), chr(10), chr(10) || chr(1)), chr(1)) AS p FROM canon),
+pieces0 AS (SELECT doc_id, unnest(p) AS piece, unnest(range(len(p))) AS sent FROM split_),
+pieces1 AS (SELECT *, coalesce(sum(strlen(piece)) OVER before_, 0)::BIGINT AS start, coalesce(sum((piece LIKE '%' || chr(10))::INT) OVER before_, 0)::BIGINT AS line,
+  strlen(regexp_replace(piece, '^\s+|\s+$', '', 'g')) > 1 AS kept FROM pieces0 WHERE piece <> '' WINDOW before_ AS (PARTITION BY doc_id ORDER BY sent ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+pieces2 AS (SELECT *, start + strlen(piece) AS "end", coalesce(lag(regexp_matches(piece, '[.!?:;]\s*$')) OVER (PARTITION BY doc_id, kept ORDER BY sent), true) AS ended, regexp_matches(piece, '^\s*\p{{Ll}}') AS small FROM pieces1),
+pieces AS (SELECT *, CASE WHEN kept THEN sum((ended OR NOT small)::INT) OVER (PARTITION BY doc_id, kept ORDER BY sent) - 1 END::BIGINT AS clause FROM pieces2),
+clauses AS (SELECT doc_id, clause, min(start) AS start, max("end") AS "end", string_agg(piece, '' ORDER BY sent) AS text FROM pieces WHERE kept GROUP BY ALL),
+chunks0 AS (SELECT doc_id, sent, start AS base, line, clause, string_split(translate(piece, chr(10) || chr(9), '  '), ' ') AS c FROM pieces),
+chunks1 AS (SELECT doc_id, sent, base, line, clause, unnest(c) AS chunk, unnest(range(len(c))) AS pos FROM chunks0),
+chunks AS (SELECT *, base + coalesce(sum(strlen(chunk) + 1) OVER (PARTITION BY doc_id, sent ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk_at FROM chunks1),
+tokens0 AS (SELECT *, regexp_extract(chunk, '[\p{{L}}\p{{N}}](?:.*[\p{{L}}\p{{N}}])?') AS token FROM chunks),
+plain AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY sent, pos) - 1 AS idx, token, lower(token) AS lower, (chunk_at + strlen(regexp_extract(chunk, '^[^\p{{L}}\p{{N}}]*')))::BIGINT AS start,
+  (chunk_at + strlen(regexp_extract(chunk, '^[^\p{{L}}\p{{N}}]*')) + strlen(token))::BIGINT AS "end", line, clause, row_number() OVER (PARTITION BY doc_id, clause ORDER BY sent, pos) - 1 AS "at" FROM tokens0 WHERE token <> ''),
+wl AS (SELECT word, row_number() OVER (ORDER BY n DESC, word) - 1 AS rank FROM (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents WHERE lang = 'en') GROUP BY word) QUALIFY rank < {FIXTURE}),
+stops(word) AS (VALUES {stops}), lemmas(inflected, lemma) AS (VALUES {lemmas}),
+vocab0 AS (SELECT DISTINCT lower, translate(lower, '’ʼ＇', '''''''') AS w FROM plain),
+vocab1 AS (SELECT lower, w, list_concat([w], {X.base_forms("w", duck=True)}) AS f FROM vocab0),
+keys0 AS (SELECT lower, w, unnest(f) AS k FROM vocab1),
+keys AS (SELECT lower, k FROM keys0 WHERE k = w OR length(k) >= 2 UNION SELECT lower, {X.american("k")} FROM keys0 WHERE k = w OR length(k) >= 2 UNION SELECT lower, lemma FROM vocab0 JOIN lemmas ON w = inflected),
+vocab AS (SELECT lower, lower IN (SELECT lower FROM keys WHERE k IN (SELECT word FROM wl)) AS is_common, lower IN (SELECT word FROM wl WHERE rank < {FREQUENT}) AS is_frequent, w IN (SELECT word FROM stops) AS is_stopword FROM vocab0),
+forms AS (SELECT *, regexp_matches(substring(token, 2), '\p{{Lu}}') AND regexp_matches(substring(token, 2), '\p{{Ll}}') AS internal_caps, regexp_matches(token, '[0-9]') AS digit,
+  regexp_matches(token, '\p{{L}}') AND NOT regexp_matches(token, '[\p{{Ll}}\p{{Lt}}\p{{Lm}}\p{{Lo}}]') AS all_caps, list_filter(string_split_regex(token, '[-_/.+]'), lambda x: x <> '') AS parts FROM (SELECT DISTINCT token FROM plain)),
+features AS (SELECT token, internal_caps, digit, all_caps, all_caps AND length(token) BETWEEN 2 AND 6 AS short_all_caps, all_caps AND length(token) > 6 AS long_all_caps,
+  CASE WHEN len(parts) > 1 AND len(list_filter(parts, lambda x: regexp_matches(x, '[\p{{L}}\p{{N}}]'))) = len(parts) THEN len(parts) ELSE 1 END::BIGINT AS segments FROM forms),
+tokens AS (SELECT * FROM plain JOIN vocab USING (lower) JOIN features USING (token)),
+caps0 AS (SELECT *, all_caps AND length(token) >= 2 AS caps, idx - row_number() OVER (PARTITION BY doc_id, all_caps AND length(token) >= 2 ORDER BY idx) AS island FROM tokens),
+caps AS (SELECT *, CASE WHEN caps THEN count(*) OVER (PARTITION BY doc_id, caps, island) ELSE 0 END AS run FROM caps0),
+marked AS (SELECT *, caps AND run < 3 AND short_all_caps AND NOT is_frequent AS acronym FROM caps),
+uni0 AS (SELECT doc_id, lower AS normalised, min_by(token, idx) AS token, min_by(start, idx) AS first_start, min_by("end", idx) AS first_end, bool_or(acronym) AS acronym, count(*) AS frequency, bool_or(is_common) AS common
+  FROM marked WHERE length(token) >= 2 AND NOT is_stopword AND regexp_matches(token, '\p{{L}}') AND (acronym OR NOT is_common OR internal_caps OR digit OR segments > 1 OR short_all_caps) GROUP BY doc_id, lower),
+uni1 AS (SELECT u.*, f.*EXCLUDE (token), CASE WHEN f.segments = 1 THEN 0 WHEN f.segments = 2 THEN 0.6 ELSE 1 END::DOUBLE AS seg, CASE WHEN length(u.token) <= 12 THEN 0 WHEN length(u.token) <= 17 THEN 0.5 ELSE 1 END::DOUBLE AS long_,
+  (acronym OR NOT common)::INT AS absent, (digit AND regexp_matches(u.token, '\p{{L}}'))::INT AS mixed, least((frequency - 1) / 3.0::DOUBLE, 1) AS often FROM uni0 u JOIN features f USING (token)),
+uni AS (SELECT *, token AS surface, internal_caps::INT * {w.internal_caps}::DOUBLE + mixed * {w.digit_letter_mix}::DOUBLE + seg * {w.separator_segments}::DOUBLE + long_ * {w.unusual_length}::DOUBLE + absent * {w.absent_from_wordlist}::DOUBLE
+  + short_all_caps::INT * {w.short_all_caps}::DOUBLE + often * {w.in_document_frequency}::DOUBLE AS score, CASE WHEN digit AND (regexp_matches(token, '\p{{L}}') OR segments > 1) THEN 'Identifier' ELSE 'Technical' END AS kind FROM uni1),
+around AS (SELECT *, lag(lower) OVER c AS before_, lead(lower) OVER c AS after_, length(token) >= 2 AND NOT is_stopword AND regexp_matches(token, '\p{{L}}') AS ok FROM tokens WHERE clause IS NOT NULL WINDOW c AS (PARTITION BY doc_id, clause ORDER BY "at")),
+stats AS (SELECT doc_id, lower, count(*) AS tf, sum((regexp_matches(token, '^\p{{Lu}}') AND "at" > 0)::INT)::BIGINT AS uppercase, sum((length(token) > 1 AND NOT regexp_matches(token, '\p{{Ll}}'))::INT)::BIGINT AS acronym,
+  count(DISTINCT clause) AS n_clauses, median(clause)::DOUBLE AS median_clause, count(DISTINCT before_) AS n_left, count(DISTINCT after_) AS n_right FROM around WHERE ok GROUP BY doc_id, lower),
+totals AS (SELECT doc_id, count(DISTINCT clause) AS total FROM pieces WHERE kept GROUP BY doc_id),
+rel AS (SELECT s.*, total, avg(tf) OVER d AS mean_, stddev_pop(tf) OVER d AS std_, max(tf) OVER d AS max_ FROM stats s JOIN totals USING (doc_id) WINDOW d AS (PARTITION BY doc_id)),
+parts_ AS (SELECT doc_id, lower, greatest(uppercase, acronym) / (1 + ln(tf)) AS t_case, ln(ln(3 + median_clause)) AS t_pos, tf / greatest(mean_ + std_, 1) AS t_norm, 1 + (n_left / tf + n_right / tf) * (tf / max_) AS t_rel, n_clauses / total AS t_sent FROM rel),
+scores AS (SELECT doc_id, lower, greatest(t_rel * t_pos / (t_case + t_norm / t_rel + t_sent / t_rel), 0) AS score FROM parts_),
+runs AS (SELECT a.*, s.score AS s, lead(a.lower, 1) OVER c AS l1, lead(a.lower, 2) OVER c AS l2, lead(s.score, 1) OVER c AS s1, lead(s.score, 2) OVER c AS s2,
+  coalesce(lead(a.ok, 1) OVER c AND lead(a.start, 1) OVER c = a."end" + 1 AND lead(line, 1) OVER c = line, false) AS k1, coalesce(lead(a.ok, 2) OVER c AND lead(a.start, 2) OVER c = lead(a."end", 1) OVER c + 1 AND lead(line, 2) OVER c = line, false) AS k2
+  FROM around a LEFT JOIN scores s ON a.doc_id = s.doc_id AND a.lower = s.lower WINDOW c AS (PARTITION BY a.doc_id, clause ORDER BY "at")),
+grams AS (SELECT doc_id, start, lower AS normalised, s AS product, s AS total FROM runs WHERE ok UNION ALL SELECT doc_id, start, lower || ' ' || l1, s * s1, s + s1 FROM runs WHERE ok AND k1
+  UNION ALL SELECT doc_id, start, lower || ' ' || l1 || ' ' || l2, s * s1 * s2, s + s1 + s2 FROM runs WHERE ok AND k1 AND k2),
+ngrams AS (SELECT doc_id, normalised, greatest(min(product) / (count(*) * (1 + min(total))), 0) AS raw, count(*) AS frequency, min(start) AS first_start FROM grams GROUP BY doc_id, normalised),
+prose0 AS (SELECT c.doc_id, coalesce(t.n, 0)::BIGINT AS tokens, coalesce(t.stops, 0) AS stops, coalesce(l.n, 0) AS clauses, coalesce(l.rows_, 0) AS rows_ FROM canon c
+  LEFT JOIN (SELECT doc_id, count(*) AS n, sum(is_stopword::INT) AS stops FROM tokens GROUP BY doc_id) t USING (doc_id)
+  LEFT JOIN (SELECT doc_id, count(*) AS n, sum((contains(text, chr(9)) OR (len(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')) <= 6 AND NOT regexp_matches(text, '[.!?]\s*$')))::INT) AS rows_ FROM clauses GROUP BY doc_id) l USING (doc_id)),
+prose AS (SELECT doc_id, tokens, CASE WHEN tokens = 0 THEN 0 ELSE stops / tokens END::DOUBLE AS stopword_ratio, CASE WHEN clauses = 0 THEN 0 ELSE tokens / clauses END::DOUBLE AS mean_sentence_len, CASE WHEN clauses = 0 THEN 0 ELSE rows_ / clauses END::DOUBLE AS table_line_ratio FROM prose0),
+votes0 AS (SELECT doc_id, canonical, string_split_regex(lower(canonical), '[^\p{{L}}]+') AS ws FROM canon),
+votes AS (SELECT doc_id, canonical, code, len(list_filter(ws, lambda x: list_contains(string_split(known, ' '), x))) AS n FROM votes0, (VALUES {", ".join(f"('{k}', '{v}')" for k, v in gates.FUNCTION_WORDS.items())}) f(code, known)),
+lang_ AS (SELECT doc_id, CASE WHEN length(min(canonical)) >= {gates.LEAST_CHARS} AND max(n) > 0 THEN arg_min(code, (-n * 10 + ascii(code) / 1000.0 + ascii(substring(code, 2)) / 1000000.0)) END AS language, CASE WHEN length(min(canonical)) >= {gates.LEAST_CHARS} AND max(n) > 0 THEN max(n) / sum(n) ELSE 0 END::DOUBLE AS confidence FROM votes GROUP BY doc_id)
+"""
 
 
-def flagship(spark, sf_dir):
-    return next(iter(QUERIES.values()))(spark, sf_dir)
+_P = CONFIG.prose
+_CASE = f"CASE kind WHEN 'Identifier' THEN {CONFIG.thresholds.identifier}::DOUBLE ELSE {CONFIG.thresholds.technical}::DOUBLE END"
+_SQL = {
+    "shape_ranked": f"SELECT doc_id, kind, row_number() OVER (PARTITION BY doc_id, kind ORDER BY round(score, 9) DESC, normalised) - 1 AS rank, normalised, round(score, 6) AS score FROM uni WHERE round(score, 9) >= {_CASE}",
+    "canonical_text": "SELECT doc_id, canonical, length(canonical) AS n_chars, strlen(canonical) AS n_bytes FROM canon",
+    "content_hash": "SELECT doc_id, sha256(coalesce(text, '')) AS hash_exact, sha256(canonical) AS hash_canonical FROM canon JOIN documents USING (doc_id)",
+    "sentences": 'SELECT doc_id, sent, piece, start, "end", kept FROM pieces',
+    "clauses": 'SELECT doc_id, clause, start, "end", text FROM clauses',
+    "token_spans": 'SELECT doc_id, idx, token, lower, start, "end", line, clause, "at" FROM plain',
+    "token_features": "SELECT token, internal_caps, digit, all_caps, short_all_caps, long_all_caps, segments FROM features",
+    "vocab_common": "SELECT lower, is_common, is_frequent, is_stopword FROM vocab",
+    "caps_runs": "SELECT doc_id, idx, token, run, acronym FROM marked WHERE caps",
+    "shape_unigrams": "SELECT doc_id, normalised, surface, kind, round(score, 6) AS score, frequency, first_start, first_end FROM uni",
+    "near_misses": f"SELECT doc_id, place, normalised, score FROM (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, normalised) - 1 AS place, normalised, round(score, 6) AS score FROM uni WHERE round(score, 9) < {_CASE}) WHERE place < 15",
+    "explain_components": "SELECT name, count(*) AS n, round(sum(value * weight), 4) AS contribution FROM ("
+    + " UNION ALL ".join(f"SELECT '{n}' AS name, ({c})::DOUBLE AS value, {getattr(CONFIG.shape_weights, n)}::DOUBLE AS weight FROM uni" for n, c in zip(shape.FEATURES, ("internal_caps::INT", "mixed", "seg", "long_", "absent", "short_all_caps::INT", "often")))
+    + ") WHERE value <> 0 GROUP BY name",
+    "term_statistics": "SELECT doc_id, lower, tf, uppercase, acronym, n_clauses, n_left, n_right, median_clause FROM stats",
+    "term_scores": "SELECT doc_id, lower, round(score, 6) AS score FROM scores",
+    "ngram_candidates": "SELECT doc_id, normalised, round(round(raw, 12), 6) AS raw, frequency, first_start FROM ngrams",
+    "topical_scored": f"SELECT doc_id, normalised, round(1 / (1 + round(raw, 12)), 6) AS score FROM ngrams WHERE round(round(raw, 12), 9) <= {CONFIG.thresholds.topical}::DOUBLE",
+    "prose_measures": "SELECT doc_id, tokens, round(stopword_ratio, 6) AS stopword_ratio, round(mean_sentence_len, 6) AS mean_sentence_len, round(table_line_ratio, 6) AS table_line_ratio FROM prose",
+    "language_scores": "SELECT doc_id, language, round(confidence, 6) AS confidence, coalesce(language = 'en', false) AS fully_supported FROM lang_",
+    "prose_verdict": f"SELECT doc_id, reason, reason = 'Prose' AS is_prose FROM (SELECT doc_id, CASE WHEN coalesce(language <> 'en', true) THEN 'NotEnglish' WHEN tokens < {_P.min_tokens} THEN 'TooFewTokens' WHEN mean_sentence_len < {_P.min_mean_sentence_len} THEN 'SentencesTooShort' "
+    f"WHEN stopword_ratio < {_P.min_stopword_ratio} THEN 'TooFewStopwords' WHEN table_line_ratio > {_P.max_table_line_ratio} THEN 'TooManyTableLines' ELSE 'Prose' END AS reason FROM prose JOIN lang_ USING (doc_id))",
+    "status_tally": f"SELECT CASE WHEN length(canonical) < {CONFIG.min_content_length} THEN 'TooShort' ELSE 'Ok' END AS status, count(*) AS documents FROM canon GROUP BY ALL",
+    "sweep_grid": f"SELECT point, kind, sum(frequency)::BIGINT AS emitted, count(DISTINCT doc_id) AS documents FROM uni, (VALUES {', '.join(f'({a}::BIGINT, {b}::DOUBLE, {c}::DOUBLE)' for a, b, c in GRID)}) g(point, identifier, technical) WHERE round(score, 9) >= CASE kind WHEN 'Identifier' THEN identifier ELSE technical END GROUP BY point, kind",
+    "baselines": """SELECT 'digit' AS baseline, count(*) AS spans, sum(start)::BIGINT AS starts, sum("end")::BIGINT AS ends FROM tokens WHERE digit UNION ALL SELECT 'absent', count(*), sum(start)::BIGINT, sum("end")::BIGINT FROM tokens WHERE NOT is_stopword AND NOT is_common""",
+}
+_SHORT = {
+    "definitions": """SELECT s_suppkey::BIGINT AS doc_id, k AS original_keyword, lower(k) AS normalised, e AS expansion, 1::BIGINT AS frequency, strpos('The General Parts Index (GPI) lists order DS-' || lpad(s_suppkey::VARCHAR, 5, '0') || ' of the supplier. We use MabSelect SuRe' || (s_suppkey % 3)
+ || ' and LoRa WAn here.' || chr(10) || 'Read the HPLC note (high pressure liquid chromatography) and the GPI again.', k) - 1 AS first_start
+FROM supplier, (VALUES ('GPI', 'General Parts Index'), ('General Parts Index', 'General Parts Index')) v(k, e)""",
+    "span_scoring": f"SELECT point, count(*) AS planted, sum((0.722 >= identifier)::BIGINT)::BIGINT AS found FROM supplier, (VALUES {', '.join(f'({a}::BIGINT, {b}, {c})' for a, b, c in GRID)}) g(point, identifier, technical) GROUP BY point",
+    "frontier": "SELECT budget, arg_max(point, h) AS point, max(h) AS recall FROM (VALUES (0::BIGINT, 0.5::DOUBLE, 13.5::DOUBLE), (1, 0.21, 12.0), (2, 0.7, 40.0)) p(point, h, f), (VALUES (12.5::DOUBLE), (20.0), (100.0)) b(budget) WHERE f <= budget GROUP BY budget",
+}
+ORACLE_SQL = {k: _with() + v for k, v in _SQL.items()} | _SHORT

@@ -8,12 +8,13 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from termforge.config import Config
 from termforge.functions import text as X
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in batches:
         yield s.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))

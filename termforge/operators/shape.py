@@ -9,7 +9,6 @@ from termforge.config import Config
 from termforge.functions import text as X
 
 FEATURES = ("internal_caps", "digit_letter_mix", "separator_segments", "unusual_length", "absent_from_wordlist", "short_all_caps", "in_document_frequency")
-_ORDER = Window.partitionBy("doc_id").orderBy("idx")
 
 
 def with_acronyms(tokens: DataFrame) -> DataFrame:

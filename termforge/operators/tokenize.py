@@ -6,12 +6,14 @@ first and finds its rows in place.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from termforge.functions import text as X
 
-_BEFORE = Window.partitionBy("doc_id").orderBy("sent")
+
+def _before() -> WindowSpec:
+    return Window.partitionBy("doc_id").orderBy("sent").rowsBetween(Window.unboundedPreceding, -1)
 
 
 def placed(docs: DataFrame) -> DataFrame:
@@ -25,7 +27,7 @@ def sentences(docs: DataFrame) -> DataFrame:
     """
     marked = rf"regexp_replace(regexp_replace(canonical, '(?U)([.!?])(?=\\s\\s*[{X.UPPER}0-9])', '$1\u0001'), '\n', '\n\u0001')"
     pieces = docs.selectExpr("doc_id", f"posexplode(split({marked}, '\u0001')) AS (sent, piece)").where("piece <> ''")
-    start = F.coalesce(F.sum(F.octet_length("piece")).over(_BEFORE.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    start = F.coalesce(F.sum(F.octet_length("piece")).over(_before()), F.lit(0))
     return pieces.withColumn("start", start.cast("long")).withColumn("end", F.col("start") + F.octet_length("piece")).withColumn("kept", F.expr(r"octet_length(regexp_replace(piece, '(?U)^\\s+|\\s+$', '')) > 1"))
 
 
@@ -35,7 +37,7 @@ def with_clauses(pieces: DataFrame) -> DataFrame:
     ended = F.expr(r"regexp_replace(piece, '(?U)\\s+$', '') rlike '[.!?:;]$'")
     small = F.expr(rf"regexp_replace(piece, '(?U)^\\s+', '') rlike '^{X.LOWER}'")
     begins = F.when(F.coalesce(F.lag(ended).over(kept), F.lit(True)) | ~small, 1).otherwise(0)
-    lines = F.coalesce(F.sum(F.expr(r"cast(piece LIKE '%\n' AS int)")).over(_BEFORE.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    lines = F.coalesce(F.sum(F.expr(r"cast(piece LIKE '%\n' AS int)")).over(_before()), F.lit(0))
     out = pieces.withColumn("begins", begins)
     return out.withColumn("clause", F.when(F.col("kept"), F.sum("begins").over(kept) - 1)).withColumn("line", lines).drop("begins")
 

@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from termforge.config import Config
 from termforge.functions import text as X
 
-_CLAUSE = Window.partitionBy("doc_id", "clause").orderBy("at")
 COUNTABLE = f"length(token) >= 2 AND NOT is_stopword AND {X.has_letter('token')}"
 
 
+def _clause() -> WindowSpec:
+    return Window.partitionBy("doc_id", "clause").orderBy("at")
+
+
 def term_statistics(tokens: DataFrame) -> DataFrame:
     """doc_id, lower, tf, uppercase, acronym, n_clauses, median_clause, n_left, n_right of countable terms; neighbours may be any token of the clause."""
-    rows = tokens.where("clause IS NOT NULL").withColumns({"before": F.lag("lower").over(_CLAUSE), "after": F.lead("lower").over(_CLAUSE)}).where(COUNTABLE)
+    rows = tokens.where("clause IS NOT NULL").withColumns({"before": F.lag("lower").over(_clause()), "after": F.lead("lower").over(_clause())}).where(COUNTABLE)
     upper, acronym = F.expr(f"token rlike '^{X.UPPER}' AND at > 0"), F.expr(f"length(token) > 1 AND NOT token rlike '{X.LOWER}'")
     return rows.groupBy("doc_id", "lower").agg(
         F.count("*").alias("tf"), F.sum(upper.cast("long")).alias("uppercase"), F.sum(acronym.cast("long")).alias("acronym"), F.count_distinct("clause").alias("n_clauses"),
@@ -38,7 +41,7 @@ def phrases(tokens: DataFrame, scores: DataFrame, config: Config = Config()) ->
     longest = max(config.yake_ngram_max, 1)
     rows = tokens.where("clause IS NOT NULL").withColumn("ok", F.expr(COUNTABLE)).join(scores.select("doc_id", "lower", F.col("score").alias("s")), ["doc_id", "lower"], "left")
     parts = F.struct("token", "start", "end", "lower", "s", "ok", "line")
-    ahead = [F.lead(parts, k).over(_CLAUSE).alias(f"n{k}") for k in range(1, longest)]
+    ahead = [F.lead(parts, k).over(_clause()).alias(f"n{k}") for k in range(1, longest)]
     rows = rows.select("doc_id", "idx", "ok", parts.alias("n0"), *ahead).where("ok")
     whole, forms = "true", []
     for k in range(longest):

@@ -31,9 +31,9 @@ KINDS = ("email", "phone", "secret", "account")
 ORDER = {k: i for i, k in enumerate((*BASE, "secret", "account"))}
 EXAMPLES, PRECISION = 6000, 0.98
 _DIGIT = re.compile("[0-9]")
-_LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _HOST = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: As [0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+), which never begins or ends within a run of digits; so a run is read once.
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -74,7 +74,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
             free = m.end()
         at = text.find("@", max(at + 1, free))
     if _DIGIT.search(text):
-        out += [(*m.span(), "ip") for m in _IP.finditer(text) if all(int(p) <= 255 for p in m.group().split("."))]
+        out += [(*m.span(), "ip") for m in _IP.finditer(text) if all(len(d := p.lstrip("0")) <= 3 and int(d or 0) <= 255 for p in m.group().split("."))]
         out += [(*m.span(), "card") for m in _CARD.finditer(text) if 12 <= len(d := _digits(m.group())) <= 19 and luhn(d)]
         if "+" in text:
             out += [(*m.span(), "phone") for m in _PHONE.finditer(text) if 9 <= len(_digits(m.group())) <= 15]

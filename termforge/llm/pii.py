@@ -38,7 +38,7 @@ _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _GENERATORS = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]+ ?[\[({<]? ?(?:at|AT|@) ?[\])}>]? ?[A-Za-z0-9-]+(?: ?[\[({<]? ?(?:dot|DOT|\.) ?[\])}>]? ?[A-Za-z0-9-]+)+"),
+    "email": re.compile(r"[A-Za-z0-9._%+-]+ ?[\[({<]? ?(?:at|AT|@) ?[\])}>]? ?[A-Za-z0-9-]+(?:(?: ?[\[({<]? ?(?:dot|DOT) ?[\])}>]? ?| ?[\[({<] ?\. ?[\])}>] ?| \. |\.)[A-Za-z0-9-]+)+"),
     "phone": re.compile(r"(?<![\w+.-])\(?[0-9]{2,4}\)?[ ./-]?(?:[0-9]{2,4}[ ./-]?){1,4}[0-9](?![\w])"),
     "secret": re.compile(r"(?<![A-Za-z0-9_/+-])(?=[A-Za-z_/+-]*[0-9])[A-Za-z0-9_/+-]{16,200}={0,2}(?![A-Za-z0-9_/+-])"),
     "account": re.compile(r"(?<![\w-])[A-Z]{0,2}[0-9][0-9 -]{5,32}[0-9](?![\w-])"),
@@ -87,7 +87,7 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
     low = None
     if _DIGIT.search(text):
         for kind in ("phone", "secret", "account"):
-            out += [(*m.span(), kind) for m in _GENERATORS[kind].finditer(text)]
+            out += [(*m.span(), kind) for m in _GENERATORS[kind].finditer(text) if kind != "phone" or 7 <= len(_digits(m.group())) <= 15]
     if "@" in text or "dot" in text or "DOT" in text:
         low = text if "@" in text else text.lower()
         if "@" in text or " at " in low or "at]" in low or "at)" in low or "at>" in low:

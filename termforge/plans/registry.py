@@ -255,13 +255,19 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shape_ranked(spark, sf_dir)
 
 
+_P = CONFIG.prose
+_CASE = f"CASE kind WHEN 'Identifier' THEN {CONFIG.thresholds.identifier}::DOUBLE ELSE {CONFIG.thresholds.technical}::DOUBLE END"
+#: DuckDB counts edits in bytes: letters beyond ASCII stand as capitals, which lower-cased words don't have.
+_ACCENTED, _PLAIN = "ßäçèéêíñóöüàâîôûáú", "ABCDEFGHIJKLMNOPQR"
+
+
 @cache
 def _with() -> str:
     quoted = lambda w: "'" + w.replace("'", "''") + "'"
     stops = ", ".join(f"({quoted(w)})" for w in sorted(set(entries(bundled("stopwords.txt")))))
     lemmas = ", ".join(f"({quoted(a)}, {quoted(b)})" for a, b in lemma_entries(bundled("lemmas.txt")))
     w = CONFIG.shape_weights
-    return rf"""WITH canon0 AS (SELECT doc_id, lang, regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g') AS t FROM documents),
+    return rf"""WITH RECURSIVE canon0 AS (SELECT doc_id, lang, regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g') AS t FROM documents),
 canon AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '(\p{{L}})-[ \t]*\n([ \t]*\p{{Ll}})', '\1\2', 'g'), '[ \t]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g') AS canonical FROM canon0),
 split_ AS (SELECT doc_id, string_split(replace(regexp_replace(canonical, '([.!?])(\s+[\p{{Lu}}0-9])', '\1' || chr(1) || '\2', 'g'), chr(10), chr(10) || chr(1)), chr(1)) AS p FROM canon),
 pieces0 AS (SELECT doc_id, unnest(p) AS piece, unnest(range(len(p))) AS sent FROM split_),
@@ -304,24 +310,44 @@ totals AS (SELECT doc_id, count(DISTINCT clause) AS total FROM pieces WHERE kept
 rel AS (SELECT s.*, total, avg(tf) OVER d AS mean_, stddev_pop(tf) OVER d AS std_, max(tf) OVER d AS max_ FROM stats s JOIN totals USING (doc_id) WINDOW d AS (PARTITION BY doc_id)),
 parts_ AS (SELECT doc_id, lower, greatest(uppercase, acronym) / (1 + ln(tf)) AS t_case, ln(ln(3 + median_clause)) AS t_pos, tf / greatest(mean_ + std_, 1) AS t_norm, 1 + (n_left / tf + n_right / tf) * (tf / max_) AS t_rel, n_clauses / total AS t_sent FROM rel),
 scores AS (SELECT doc_id, lower, greatest(t_rel * t_pos / (t_case + t_norm / t_rel + t_sent / t_rel), 0) AS score FROM parts_),
-runs AS (SELECT a.*, s.score AS s, lead(a.lower, 1) OVER c AS l1, lead(a.lower, 2) OVER c AS l2, lead(s.score, 1) OVER c AS s1, lead(s.score, 2) OVER c AS s2,
+runs AS (SELECT a.*, s.score AS s, lead(a.lower, 1) OVER c AS l1, lead(a.lower, 2) OVER c AS l2, lead(s.score, 1) OVER c AS s1, lead(s.score, 2) OVER c AS s2, lead(a.token, 1) OVER c AS t1, lead(a.token, 2) OVER c AS t2,
   coalesce(lead(a.ok, 1) OVER c AND lead(a.start, 1) OVER c = a."end" + 1 AND lead(line, 1) OVER c = line, false) AS k1, coalesce(lead(a.ok, 2) OVER c AND lead(a.start, 2) OVER c = lead(a."end", 1) OVER c + 1 AND lead(line, 2) OVER c = line, false) AS k2
   FROM around a LEFT JOIN scores s ON a.doc_id = s.doc_id AND a.lower = s.lower WINDOW c AS (PARTITION BY a.doc_id, clause ORDER BY "at")),
-grams AS (SELECT doc_id, start, lower AS normalised, s AS product, s AS total FROM runs WHERE ok UNION ALL SELECT doc_id, start, lower || ' ' || l1, s * s1, s + s1 FROM runs WHERE ok AND k1
-  UNION ALL SELECT doc_id, start, lower || ' ' || l1 || ' ' || l2, s * s1 * s2, s + s1 + s2 FROM runs WHERE ok AND k1 AND k2),
-ngrams AS (SELECT doc_id, normalised, greatest(min(product) / (count(*) * (1 + min(total))), 0) AS raw, count(*) AS frequency, min(start) AS first_start FROM grams GROUP BY doc_id, normalised),
+grams AS (SELECT doc_id, start, lower AS normalised, token AS surface, s AS product, s AS total FROM runs WHERE ok UNION ALL SELECT doc_id, start, lower || ' ' || l1, token || ' ' || t1, s * s1, s + s1 FROM runs WHERE ok AND k1
+  UNION ALL SELECT doc_id, start, lower || ' ' || l1 || ' ' || l2, token || ' ' || t1 || ' ' || t2, s * s1 * s2, s + s1 + s2 FROM runs WHERE ok AND k1 AND k2),
+ngrams AS (SELECT doc_id, normalised, min_by(surface, start) AS surface, greatest(min(product) / (count(*) * (1 + min(total))), 0) AS raw, count(*) AS frequency, min(start) AS first_start FROM grams GROUP BY doc_id, normalised),
+topic0 AS (SELECT doc_id, list([{{'raw': round(raw, 12), 'n': normalised, 's': surface, 'f': frequency, 'm': translate(normalised, '{_ACCENTED}', '{_PLAIN}')}}] ORDER BY round(raw, 12), normalised) AS l FROM ngrams WHERE round(raw, 12) <= {CONFIG.thresholds.topical}::DOUBLE GROUP BY doc_id),
+topic AS (SELECT doc_id, unnest(list_reduce(l, lambda acc, x: CASE WHEN len(list_filter(acc, lambda k: levenshtein(k.m, x[1].m) <= 0.2::DOUBLE * greatest(length(k.n), length(x[1].n)) + 1e-9)) > 0 THEN acc ELSE list_concat(acc, x) END)) AS k FROM topic0),
 prose0 AS (SELECT c.doc_id, coalesce(t.n, 0)::BIGINT AS tokens, coalesce(t.stops, 0) AS stops, coalesce(l.n, 0) AS clauses, coalesce(l.rows_, 0) AS rows_ FROM canon c
   LEFT JOIN (SELECT doc_id, count(*) AS n, sum(is_stopword::INT) AS stops FROM tokens GROUP BY doc_id) t USING (doc_id)
   LEFT JOIN (SELECT doc_id, count(*) AS n, sum((contains(text, chr(9)) OR (len(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')) <= 6 AND NOT regexp_matches(text, '[.!?]\s*$')))::INT) AS rows_ FROM clauses GROUP BY doc_id) l USING (doc_id)),
 prose AS (SELECT doc_id, tokens, CASE WHEN tokens = 0 THEN 0 ELSE stops / tokens END::DOUBLE AS stopword_ratio, CASE WHEN clauses = 0 THEN 0 ELSE tokens / clauses END::DOUBLE AS mean_sentence_len, CASE WHEN clauses = 0 THEN 0 ELSE rows_ / clauses END::DOUBLE AS table_line_ratio FROM prose0),
 votes0 AS (SELECT doc_id, canonical, string_split_regex(lower(canonical), '[^\p{{L}}]+') AS ws FROM canon),
 votes AS (SELECT doc_id, canonical, code, len(list_filter(ws, lambda x: list_contains(string_split(known, ' '), x))) AS n FROM votes0, (VALUES {", ".join(f"('{k}', '{v}')" for k, v in gates.FUNCTION_WORDS.items())}) f(code, known)),
-lang_ AS (SELECT doc_id, CASE WHEN length(min(canonical)) >= {gates.LEAST_CHARS} AND max(n) > 0 THEN arg_min(code, (-n * 10 + ascii(code) / 1000.0 + ascii(substring(code, 2)) / 1000000.0)) END AS language, CASE WHEN length(min(canonical)) >= {gates.LEAST_CHARS} AND max(n) > 0 THEN max(n) / sum(n) ELSE 0 END::DOUBLE AS confidence FROM votes GROUP BY doc_id)
+lang_ AS (SELECT doc_id, CASE WHEN length(min(canonical)) >= {gates.LEAST_CHARS} AND max(n) > 0 THEN arg_min(code, (-n * 10 + ascii(code) / 1000.0 + ascii(substring(code, 2)) / 1000000.0)) END AS language, CASE WHEN length(min(canonical)) >= {gates.LEAST_CHARS} AND max(n) > 0 THEN max(n) / sum(n) ELSE 0 END::DOUBLE AS confidence FROM votes GROUP BY doc_id),
+verdicts AS (SELECT doc_id, CASE WHEN coalesce(language <> 'en', true) THEN 'NotEnglish' WHEN tokens < {_P.min_tokens} THEN 'TooFewTokens' WHEN mean_sentence_len < {_P.min_mean_sentence_len} THEN 'SentencesTooShort'
+  WHEN stopword_ratio < {_P.min_stopword_ratio} THEN 'TooFewStopwords' WHEN table_line_ratio > {_P.max_table_line_ratio} THEN 'TooManyTableLines' ELSE 'Prose' END AS reason FROM prose JOIN lang_ USING (doc_id)),
+able AS (SELECT doc_id, line, idx, token, start, "end", length(token) >= 2 AS head, internal_caps AS inner_, idx - row_number() OVER (PARTITION BY doc_id, line ORDER BY idx) AS island
+  FROM tokens WHERE NOT digit AND regexp_matches(token, '^\p{{Lu}}') AND (internal_caps OR NOT is_common)),
+able_runs AS (SELECT doc_id, list({{'idx': idx, 'token': token, 'start': start, 'end': "end", 'head': head, 'inner_': inner_}} ORDER BY idx) AS t FROM able GROUP BY doc_id, line, island HAVING count(*) >= 2 AND bool_or(inner_)),
+walk AS (SELECT doc_id, t, 1 AS i, 0 AS n, 0 AS at_ FROM able_runs UNION ALL
+  SELECT doc_id, t, i + greatest(take, 1), take, i FROM (SELECT doc_id, t, i, CASE WHEN NOT t[i].head THEN 0 WHEN len(t) - i >= 2 THEN CASE WHEN t[i].inner_ OR t[i + 1].inner_ OR t[i + 2].inner_ THEN 3 ELSE 0 END
+    WHEN len(t) - i = 1 THEN CASE WHEN t[i].inner_ OR t[i + 1].inner_ THEN 2 ELSE 0 END ELSE 0 END AS take FROM walk WHERE i <= len(t))),
+phrase0 AS (SELECT doc_id, array_to_string(list_transform(t[at_:at_ + n - 1], lambda x: x.token), ' ') AS surface, t[at_].idx AS idx FROM walk WHERE n > 0),
+phrase1 AS (SELECT doc_id, lower(surface) AS normalised, min_by(surface, idx) AS surface, count(*) AS frequency FROM phrase0 GROUP BY doc_id, lower(surface)),
+phrase2 AS (SELECT *, regexp_matches(substring(surface, 2), '\p{{Lu}}') AND regexp_matches(substring(surface, 2), '\p{{Ll}}') AS mixed_case, list_filter(string_split_regex(surface, '[-_/.+]'), lambda x: x <> '') AS parts FROM phrase1),
+phrase3 AS (SELECT *, CASE WHEN len(parts) > 1 AND len(list_filter(parts, lambda x: regexp_matches(x, '[\p{{L}}\p{{N}}]'))) = len(parts) THEN len(parts) ELSE 1 END AS segments FROM phrase2),
+phrase AS (SELECT *, mixed_case::INT * {w.internal_caps}::DOUBLE + CASE segments WHEN 1 THEN 0 WHEN 2 THEN 0.6::DOUBLE ELSE 1 END * {w.separator_segments}::DOUBLE + CASE WHEN length(surface) <= 12 THEN 0 WHEN length(surface) <= 17 THEN 0.5::DOUBLE ELSE 1 END * {w.unusual_length}::DOUBLE
+  + {w.absent_from_wordlist}::DOUBLE + (NOT mixed_case AND length(surface) BETWEEN 2 AND 6 AND upper(surface) = surface)::INT * {w.short_all_caps}::DOUBLE + least((frequency - 1) / 3.0::DOUBLE, 1) * {w.in_document_frequency}::DOUBLE AS score, 'Technical' AS kind FROM phrase3),
+alive AS (SELECT doc_id FROM canon WHERE length(canonical) >= {CONFIG.min_content_length}),
+keywords0 AS (SELECT doc_id, kind, 'Shape' AS origin, token AS original_keyword, normalised, score, frequency FROM uni WHERE round(score, 9) >= {_CASE}
+  UNION ALL SELECT doc_id, kind, 'Shape', surface, normalised, score, frequency FROM phrase WHERE round(score, 9) >= {_CASE}
+  UNION ALL SELECT doc_id, 'Topical', 'Statistic', k.s, k.n, 1 / (1 + k.raw), k.f FROM topic JOIN verdicts USING (doc_id) WHERE reason = 'Prose'),
+keywords AS (SELECT doc_id, kind, row_number() OVER (PARTITION BY doc_id, kind ORDER BY round(score, 9) DESC, normalised, original_keyword) - 1 AS rank, origin, original_keyword, normalised, round(score, 6) AS score, frequency, NULL::VARCHAR AS expansion
+  FROM keywords0 JOIN alive USING (doc_id))
 """
 
 
-_P = CONFIG.prose
-_CASE = f"CASE kind WHEN 'Identifier' THEN {CONFIG.thresholds.identifier}::DOUBLE ELSE {CONFIG.thresholds.technical}::DOUBLE END"
 _SQL = {
     "shape_ranked": f"SELECT doc_id, kind, row_number() OVER (PARTITION BY doc_id, kind ORDER BY round(score, 9) DESC, normalised) - 1 AS rank, normalised, round(score, 6) AS score FROM uni WHERE round(score, 9) >= {_CASE}",
     "canonical_text": "SELECT doc_id, canonical, length(canonical) AS n_chars, strlen(canonical) AS n_bytes FROM canon",
@@ -343,8 +369,14 @@ _SQL = {
     "topical_scored": f"SELECT doc_id, normalised, round(1 / (1 + round(raw, 12)), 6) AS score FROM ngrams WHERE round(round(raw, 12), 9) <= {CONFIG.thresholds.topical}::DOUBLE",
     "prose_measures": "SELECT doc_id, tokens, round(stopword_ratio, 6) AS stopword_ratio, round(mean_sentence_len, 6) AS mean_sentence_len, round(table_line_ratio, 6) AS table_line_ratio FROM prose",
     "language_scores": "SELECT doc_id, language, round(confidence, 6) AS confidence, coalesce(language = 'en', false) AS fully_supported FROM lang_",
-    "prose_verdict": f"SELECT doc_id, reason, reason = 'Prose' AS is_prose FROM (SELECT doc_id, CASE WHEN coalesce(language <> 'en', true) THEN 'NotEnglish' WHEN tokens < {_P.min_tokens} THEN 'TooFewTokens' WHEN mean_sentence_len < {_P.min_mean_sentence_len} THEN 'SentencesTooShort' "
-    f"WHEN stopword_ratio < {_P.min_stopword_ratio} THEN 'TooFewStopwords' WHEN table_line_ratio > {_P.max_table_line_ratio} THEN 'TooManyTableLines' ELSE 'Prose' END AS reason FROM prose JOIN lang_ USING (doc_id))",
+    "prose_verdict": "SELECT doc_id, reason, reason = 'Prose' AS is_prose FROM verdicts",
+    "topical_dedup": "SELECT doc_id, k.n AS normalised, round(k.raw, 6) AS raw FROM topic",
+    "keyword_union": "SELECT * FROM keywords",
+    "top_per_kind": "SELECT * FROM keywords WHERE rank < 5",
+    "without_repeats": "SELECT * FROM keywords QUALIFY row_number() OVER (PARTITION BY doc_id, normalised, kind ORDER BY origin = 'Statistic', score DESC, original_keyword) = 1",
+    "resolved_spans": 'SELECT t.doc_id, normalised, t.start, t."end", t.token AS found FROM keywords k JOIN tokens t ON t.doc_id = k.doc_id AND t.lower = k.normalised WHERE kind = \'Identifier\'',
+    "results": f"SELECT doc_id, CASE WHEN a.doc_id IS NULL THEN 'TooShort' ELSE 'Ok' END AS status, length(canonical) AS own_content_length, sha256(canonical) AS hash_canonical, coalesce(n, 0) AS n_keywords, '{CONFIG.stamp()}' AS version "
+    "FROM canon LEFT JOIN alive a USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FROM keywords GROUP BY doc_id) USING (doc_id)",
     "status_tally": f"SELECT CASE WHEN length(canonical) < {CONFIG.min_content_length} THEN 'TooShort' ELSE 'Ok' END AS status, count(*) AS documents FROM canon GROUP BY ALL",
     "sweep_grid": f"SELECT point, kind, sum(frequency)::BIGINT AS emitted, count(DISTINCT doc_id) AS documents FROM uni, (VALUES {', '.join(f'({a}::BIGINT, {b}::DOUBLE, {c}::DOUBLE)' for a, b, c in GRID)}) g(point, identifier, technical) WHERE round(score, 9) >= CASE kind WHEN 'Identifier' THEN identifier ELSE technical END GROUP BY point, kind",
     "baselines": """SELECT 'digit' AS baseline, count(*) AS spans, sum(start)::BIGINT AS starts, sum("end")::BIGINT AS ends FROM tokens WHERE digit UNION ALL SELECT 'absent', count(*), sum(start)::BIGINT, sum("end")::BIGINT FROM tokens WHERE NOT is_stopword AND NOT is_common""",
@@ -353,6 +385,8 @@ _SHORT = {
     "definitions": """SELECT s_suppkey::BIGINT AS doc_id, k AS original_keyword, lower(k) AS normalised, e AS expansion, 1::BIGINT AS frequency, strpos('The General Parts Index (GPI) lists order DS-' || lpad(s_suppkey::VARCHAR, 5, '0') || ' of the supplier. We use MabSelect SuRe' || (s_suppkey % 3)
  || ' and LoRa WAn here.' || chr(10) || 'Read the HPLC note (high pressure liquid chromatography) and the GPI again.', k) - 1 AS first_start
 FROM supplier, (VALUES ('GPI', 'General Parts Index'), ('General Parts Index', 'General Parts Index')) v(k, e)""",
+    "shape_phrases": f"SELECT s_suppkey::BIGINT AS doc_id, 'lora wan' AS normalised, 'LoRa WAn' AS surface, 'Technical' AS kind, {CONFIG.shape_weights.internal_caps + CONFIG.shape_weights.absent_from_wordlist}::DOUBLE AS score, 1::BIGINT AS frequency, "
+    "strpos('The General Parts Index (GPI) lists order DS-' || lpad(s_suppkey::VARCHAR, 5, '0') || ' of the supplier. We use MabSelect SuRe' || (s_suppkey % 3) || ' and LoRa', 'LoRa') - 1 AS first_start, 8 + first_start AS first_end FROM supplier",
     "span_scoring": f"SELECT point, count(*) AS planted, sum((0.722 >= identifier)::BIGINT)::BIGINT AS found FROM supplier, (VALUES {', '.join(f'({a}::BIGINT, {b}, {c})' for a, b, c in GRID)}) g(point, identifier, technical) GROUP BY point",
     "frontier": "SELECT budget, arg_max(point, h) AS point, max(h) AS recall FROM (VALUES (0::BIGINT, 0.5::DOUBLE, 13.5::DOUBLE), (1, 0.21, 12.0), (2, 0.7, 40.0)) p(point, h, f), (VALUES (12.5::DOUBLE), (20.0), (100.0)) b(budget) WHERE f <= budget GROUP BY budget",
 }

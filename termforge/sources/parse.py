@@ -24,8 +24,8 @@ class Encrypted(Exception):
     pass
 
 
-def files(spark: SparkSession, path: str) -> DataFrame:
-    """path and content of all files below path. Sorting is left to the output."""
+def files(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """path and content of all files below path, or of several. Sorting is left to the output."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
 
 

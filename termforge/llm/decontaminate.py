@@ -32,7 +32,8 @@ LCS, PARAPHRASE, ANSWER = 0.7, 0.5, 0.8
 BLOCK_ITEMS = 4000
 _CHUNKS = 16
 _MOST_WORDS = 500_000
-_EDGE = re.compile(rb"^[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+|[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+$")
+#: ASCII characters that are neither letters nor digits.
+_EDGE = bytes(i for i in range(128) if not chr(i).isalnum())
 _HITS = "doc_id bigint, item_id bigint, cosine double, common bigint, item_words bigint, answer_found boolean, start_word bigint"
 
 
@@ -42,7 +43,7 @@ class _Words(dict):
     def __missing__(self, raw: bytes) -> int:
         if len(self) > _MOST_WORDS:
             self.clear()
-        word = _EDGE.sub(b"", raw)
+        word = raw.strip(_EDGE)
         self[raw] = found = xxhash.xxh3_64_intdigest(word) | 1 if word else 0
         return found
 
@@ -98,12 +99,14 @@ def _sketch(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
             place = np.arange(len(terms)) - np.repeat(first, sizes)
             starts = np.flatnonzero(place % width == 0)
             passage = np.cumsum(place % width == 0) - 1
-            y = np.ascontiguousarray(np.add.reduceat(omega[terms], starts, 0).T)
-            for c in range(RANK + MORE):
-                out[c] += np.bincount(terms, y[c][passage], size)
-            pairs = passage * size + terms
-            pairs.sort()
-            out[RANK + MORE] += np.bincount(pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])] % size, minlength=size)
+            y = np.add.reduceat(omega.take(terms, 0), starts, 0)
+            order = np.argsort(terms.astype(np.uint16), kind="stable")  # by term, and by passage within one
+            term, passage = terms[order], passage[order]
+            new = np.diff(term, prepend=-1) != 0
+            begin = np.flatnonzero(new)
+            out[: RANK + MORE, term[begin]] += np.add.reduceat(y.take(passage, 0), begin, 0).T
+            new[1:] |= passage[1:] != passage[:-1]
+            out[RANK + MORE] += np.bincount(term[new], minlength=size)
             out[RANK + MORE + 1, 0] += len(starts)
         for i, part in enumerate(np.split(out, _CHUNKS, 1)):
             yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["chunk", "data"])
@@ -173,8 +176,31 @@ class Items:
             for a in range(len(h) - width + 1):
                 if a < STEP and (steps == 1 or a % 2 == 0) or a % (STEP // 2) == 0:
                     found[steps].append((weights[_terms(h[a : a + width])].sum(0), n, a))
+        self.sizes = np.array([len(w) for w in self.words], np.int64)
+        self.counts: np.ndarray | None = None
         self.queries = {k: (_unit(np.stack([x[0] for x in v])), np.array([x[1] for x in v]), np.array([x[2] for x in v])) for k, v in found.items() if v and weights.shape[1]}
 
+    def _most_common(self, terms: np.ndarray, low: np.ndarray, sizes: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """For each stretch of words a bound on its longest common subsequence with the item: terms in common, as often as both have them."""
+        if self.counts is None:  # a byte for each item and term, made where it is needed
+            self.counts = np.zeros((len(self.words), 1 << TERM_BITS), np.uint8)
+            for i, own in enumerate(self.words):
+                found, n = np.unique(_terms(np.array(own, np.uint64)), return_counts=True)
+                self.counts[i, found] = np.minimum(n, 255)
+        out = np.zeros(len(low), np.int64)
+        for a in range(0, len(low), 8192):
+            n = sizes[a : a + 8192]
+            row = np.repeat(np.arange(len(n)), n)
+            source = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[a : a + 8192], n)
+            keys = (row << TERM_BITS) + terms[source]
+            keys.sort()
+            count = np.arange(len(keys))
+            count -= np.maximum.accumulate(np.where(np.diff(keys, prepend=-1) != 0, count, 0))
+            row, term = keys >> TERM_BITS, keys & (1 << TERM_BITS) - 1
+            both = count < self.counts[item[a : a + 8192][row], term]
+            out[a : a + 8192] = np.bincount(row[both], minlength=len(n))
+        return out
+
     def leaks(self, texts: list[str]) -> list[list[tuple]]:
         """For each text its hits: (item_id, cosine, common, item words, answer found, start word)."""
         found = [hashed(t) for t in texts]
@@ -187,21 +213,32 @@ class Items:
         first = np.cumsum(sizes) - sizes
         place = np.arange(len(words)) - np.repeat(first, sizes)
         starts = np.flatnonzero(place % STEP == 0)
-        steps = np.add.reduceat(self.weights[_terms(words)], starts, 0)
+        steps = np.add.reduceat(self.weights.take(_terms(words), 0), starts, 0)
         owner = np.repeat(np.arange(len(filled)), sizes)[starts]
-        tried: dict[tuple[int, int, int], float] = {}
+        hits: list[tuple[np.ndarray, ...]] = []
         for k, (queries, item, shift) in self.queries.items():
             padded = np.concatenate([steps, np.zeros((k, steps.shape[1]), np.float32)])
             sums = sum(padded[j : j + len(steps)] * (np.concatenate([owner, np.full(k, -1)])[j : j + len(steps)] == owner)[:, None] for j in range(k))
-            sums = _unit(sums)
-            for a in range(0, len(sums), 4096):
-                cos = sums[a : a + 4096] @ queries.T
-                for w, q in zip(*np.divmod(np.flatnonzero(cos.ravel() >= COSINE[k]), cos.shape[1])):
-                    at = int(starts[a + w])
-                    key = (int(owner[a + w]), int(item[q]), int(place[at] - shift[q]))
-                    tried[key] = max(tried.get(key, 0.0), float(cos[w, q]))
+            sums, turned = _unit(sums), np.ascontiguousarray(queries.T)
+            for a in range(0, len(sums), 512):  # products that stay in the cache
+                cos = (sums[a : a + 512] @ turned).ravel()
+                at = np.flatnonzero(cos >= COSINE[k])
+                if len(at):
+                    w, q = np.divmod(at, len(queries))
+                    hits.append((owner[a + w], item[q], place[starts[a + w]] - shift[q], cos[at]))
+        if not hits:
+            return out
+        doc, item, at, cos = map(np.concatenate, zip(*hits))
+        order = np.lexsort((-cos, at, item, doc))
+        doc, item, at, cos = doc[order], item[order], at[order], cos[order]
+        new = np.ones(len(doc), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (at[1:] != at[:-1])
+        doc, item, at, cos = doc[new], item[new], at[new], cos[new]
+        low = np.maximum(0, at - STEP)
+        high = np.minimum(at + self.sizes[item] + STEP, sizes[doc])
+        near = self._most_common(_terms(words), first[doc] + low, np.maximum(high - low, 0), item) >= min(LCS, PARAPHRASE) * self.sizes[item]
         best: dict[tuple[int, int], tuple] = {}
-        for (doc, item, at), cos in sorted(tried.items()):
+        for doc, item, at, cos in zip(*(x[near].tolist() for x in (doc, item, at, cos))):
             own = self.words[item]
             a, b = max(0, at - STEP), at + len(own) + STEP
             near = found[filled[doc]][a:b].tolist()

@@ -10,7 +10,7 @@ def grams(words, n=8):
 
 
 def plain(text):
-    return [w for w in (D._EDGE.sub(b"", x.encode()).decode("utf-8", "replace") for x in (text or "").lower().split()) if w]
+    return [w for w in (x.encode().strip(D._EDGE).decode("utf-8", "replace") for x in (text or "").lower().split()) if w]
 
 
 def holds(words, item, where):

@@ -77,7 +77,7 @@ def write_json_lines(rows: DataFrame, path: str, mode: str = "errorifexists") ->
 def csv_rows(rows: DataFrame) -> DataFrame:
     """A row for each keyword, and one for a document without any."""
     flat = rows.select("path", status_label(F.col("status"), F.col("message")).alias("status"), F.explode_outer("keywords").alias("k"))
-    named = {"score": F.format_number("k.score", "0.0000")}
+    named = {"score": F.when(F.col("k.score").isNotNull(), F.format_string("%.4f", "k.score"))}
     return flat.select("path", "status", *(named.get(c, F.col(f"k.{c}")).alias(c) for c in CSV_COLUMNS[2:]))
 
 

@@ -6,6 +6,8 @@
 2. Every document is projected STEP words at a time; sums of 1, 2 and 4 neighbouring steps are its passages. Benchmark
    items are projected as windows of the same lengths at all alignments. Passages whose cosine with a window, in
    singular directions of equal weight, reaches COSINE are candidates.
+   So are all stretches that hold PARAPHRASE of an item's words in any order, whatever their cosine: no leak has
+   fewer, so the search misses none of those that 3. would confirm.
 3. A candidate is a leak if the longest common subsequence of words with the item, in place, is LCS of the item; or
    PARAPHRASE of it, if the item's answer (its last sentence) is there too.
 """
@@ -30,6 +32,8 @@ COSINE = {1: 0.9, 2: 0.85, 4: 0.8}
 LCS, PARAPHRASE, ANSWER = 0.7, 0.5, 0.8
 #: Items that one pass over the documents looks for; more items take more passes.
 BLOCK_ITEMS = 4000
+#: Items and steps whose words are counted together.
+COUNT_ITEMS, COUNT_STEPS = 256, 1024
 _CHUNKS = 16
 _MOST_WORDS = 500_000
 #: ASCII characters that are neither letters nor digits.
@@ -178,26 +182,81 @@ class Items:
                     found[steps].append((weights[_terms(h[a : a + width])].sum(0), n, a))
         self.sizes = np.array([len(w) for w in self.words], np.int64)
         self.counts: np.ndarray | None = None
+        self.member: np.ndarray | None = None
         self.queries = {k: (_unit(np.stack([x[0] for x in v])), np.array([x[1] for x in v]), np.array([x[2] for x in v])) for k, v in found.items() if v and weights.shape[1]}
 
-    def _most_common(self, terms: np.ndarray, low: np.ndarray, sizes: np.ndarray, item: np.ndarray) -> np.ndarray:
-        """For each stretch of words a bound on its longest common subsequence with the item: terms in common, as often as both have them."""
-        if self.counts is None:  # a byte for each item and term, made where it is needed
+    def _count_terms(self) -> None:
+        """A byte for each item and term, made where it is needed."""
+        if self.counts is None:
             self.counts = np.zeros((len(self.words), 1 << TERM_BITS), np.uint8)
             for i, own in enumerate(self.words):
                 found, n = np.unique(_terms(np.array(own, np.uint64)), return_counts=True)
                 self.counts[i, found] = np.minimum(n, 255)
+            self.member = np.zeros(((1 << TERM_BITS) + 1, len(self.words)), np.uint8)
+            self.member[:-1] = (self.counts > 0).T
+
+    def _holding(self, terms: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(step, item) wherever a leak may begin in the step: the words from a step before it to a step beyond the item's
+        length hold PARAPHRASE of the item's words, repeated ones counted each time. It bounds every subsequence there."""
+        self._count_terms()
+        need = np.ceil(PARAPHRASE * self.sizes).astype(np.int64)
+        span = -(-(self.sizes + 2 * STEP - 1) // STEP) + 1
+        order = np.argsort(span, kind="stable")
+        padded = np.full((len(starts), STEP), 1 << TERM_BITS)  # the last row of member has no item
+        lengths = np.diff(starts, append=len(terms))
+        padded[np.repeat(np.arange(len(starts)), lengths), np.arange(len(terms)) - np.repeat(starts, lengths)] = terms
+        steps, items = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for c in range(0, len(order), COUNT_ITEMS):
+            cols = order[c : c + COUNT_ITEMS]
+            member, most, size = np.ascontiguousarray(self.member[:, cols]), int(span[cols].max()), span[cols]
+            wide = np.uint8 if STEP * most < 256 else np.uint32
+            least, cuts = need[cols].astype(wide), np.flatnonzero(np.diff(size, prepend=-1, append=-1)).tolist()
+            for a in range(0, len(starts), COUNT_STEPS):
+                b = min(len(starts), a + COUNT_STEPS)
+                # from a step before to `most` beyond; what belongs to other documents only loosens the bound
+                low, high = max(0, a - 1), min(len(starts), b + most)
+                own = np.zeros((b - a + 1 + 2 * most, len(cols)), wide)
+                part = own[low - a + 1 : high - a + 1]
+                for k in range(STEP):
+                    part += member.take(padded[low:high, k], 0)
+                sums = [own]  # of 1, 2, 4 and so on neighbouring steps
+                while 2 << len(sums) - 1 <= most:
+                    half = 1 << len(sums) - 1
+                    sums.append(sums[-1][:-half] + sums[-1][half:])
+                for i, j in zip(cuts[:-1], cuts[1:]):
+                    total, at = np.zeros((b - a, j - i), wide), 0
+                    for k, x in enumerate(sums):
+                        if int(size[i]) >> k & 1:
+                            total += x[at : at + b - a, i:j]
+                            at += 1 << k
+                    x, y = np.divmod(np.flatnonzero(total >= least[i:j]), j - i)
+                    steps.append(a + x)
+                    items.append(cols[i + y])
+        return np.concatenate(steps), np.concatenate(items)
+
+    def _confirmed(self, item: int, near: list[int]) -> tuple[int, bool]:
+        """Words in common with the item, and whether its answer is there; (0, False) if it's no leak."""
+        own = self.words[item]
+        common = common_words(own, near)
+        answer = common >= PARAPHRASE * len(own) and common_words(self.answers[item], near) >= ANSWER * len(self.answers[item])
+        return (common, bool(answer)) if common >= LCS * len(own) or answer else (0, False)
+
+    def _most_common(self, terms: np.ndarray, low: np.ndarray, sizes: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """For each stretch of words a bound on its longest common subsequence with the item: terms in common, as often as both have them."""
+        self._count_terms()
         out = np.zeros(len(low), np.int64)
         for a in range(0, len(low), 8192):
             n = sizes[a : a + 8192]
             row = np.repeat(np.arange(len(n)), n)
             source = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[a : a + 8192], n)
-            keys = (row << TERM_BITS) + terms[source]
+            found, own = terms[source], item[a : a + 8192]
+            kept = np.flatnonzero(self.counts.ravel().take((own.astype(np.int64) << TERM_BITS)[row] + found))
+            keys = (row[kept] << TERM_BITS) + found[kept]
             keys.sort()
             count = np.arange(len(keys))
             count -= np.maximum.accumulate(np.where(np.diff(keys, prepend=-1) != 0, count, 0))
             row, term = keys >> TERM_BITS, keys & (1 << TERM_BITS) - 1
-            both = count < self.counts[item[a : a + 8192][row], term]
+            both = count < self.counts[own[row], term]
             out[a : a + 8192] = np.bincount(row[both], minlength=len(n))
         return out
 
@@ -206,7 +265,7 @@ class Items:
         found = [hashed(t) for t in texts]
         out: list[list[tuple]] = [[] for _ in texts]
         filled = [i for i, h in enumerate(found) if len(h)]
-        if not filled or not self.queries:
+        if not filled or not self.words:
             return out
         words = np.concatenate([found[i] for i in filled])
         sizes = np.array([len(found[i]) for i in filled])
@@ -226,28 +285,44 @@ class Items:
                 if len(at):
                     w, q = np.divmod(at, len(queries))
                     hits.append((owner[a + w], item[q], place[starts[a + w]] - shift[q], cos[at]))
-        if not hits:
-            return out
-        doc, item, at, cos = map(np.concatenate, zip(*hits))
-        order = np.lexsort((-cos, at, item, doc))
-        doc, item, at, cos = doc[order], item[order], at[order], cos[order]
-        new = np.ones(len(doc), bool)
-        new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (at[1:] != at[:-1])
-        doc, item, at, cos = doc[new], item[new], at[new], cos[new]
-        low = np.maximum(0, at - STEP)
-        high = np.minimum(at + self.sizes[item] + STEP, sizes[doc])
-        near = self._most_common(_terms(words), first[doc] + low, np.maximum(high - low, 0), item) >= min(LCS, PARAPHRASE) * self.sizes[item]
         best: dict[tuple[int, int], tuple] = {}
-        for doc, item, at, cos in zip(*(x[near].tolist() for x in (doc, item, at, cos))):
-            own = self.words[item]
-            a, b = max(0, at - STEP), at + len(own) + STEP
-            near = found[filled[doc]][a:b].tolist()
-            common = common_words(own, near)
-            answer = common >= PARAPHRASE * len(own) and common_words(self.answers[item], near) >= ANSWER * len(self.answers[item])
-            if common >= LCS * len(own) or answer:
-                hit = (common, cos, self.ids[item], len(own), bool(answer), max(0, at))
-                if hit[:2] > best.get((doc, item), (0, 0.0))[:2]:
+        if hits:
+            doc, item, at, cos = map(np.concatenate, zip(*hits))
+            order = np.lexsort((-cos, at, item, doc))
+            doc, item, at, cos = doc[order], item[order], at[order], cos[order]
+            new = np.ones(len(doc), bool)
+            new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (at[1:] != at[:-1])
+            doc, item, at, cos = doc[new], item[new], at[new], cos[new]
+            low = np.maximum(0, at - STEP)
+            high = np.minimum(at + self.sizes[item] + STEP, sizes[doc])
+            near = self._most_common(_terms(words), first[doc] + low, np.maximum(high - low, 0), item) >= min(LCS, PARAPHRASE) * self.sizes[item]
+            for doc, item, at, cos in zip(*(x[near].tolist() for x in (doc, item, at, cos))):
+                common, answer = self._confirmed(item, found[filled[doc]][max(0, at - STEP) : at + len(self.words[item]) + STEP].tolist())
+                hit = (common, cos, self.ids[item], len(self.words[item]), answer, max(0, at))
+                if common and hit[:2] > best.get((doc, item), (0, 0.0))[:2]:
                     best[doc, item] = hit
+        # Leaks that the cosine missed.
+        step, item = self._holding(_terms(words), starts)
+        doc = owner[step]
+        if best:
+            had = np.array([d * len(self.words) + i for d, i in best])
+            new = ~np.isin(doc * len(self.words) + item, had)
+            step, item, doc = step[new], item[new], doc[new]
+        low = np.maximum(0, place[starts[step]] - STEP)
+        high = np.minimum(place[starts[step]] + self.sizes[item] + 2 * STEP - 1, sizes[doc])
+        near = self._most_common(_terms(words), first[doc] + low, high - low, item) >= PARAPHRASE * self.sizes[item]
+        more: dict[tuple[int, int], tuple] = {}
+        for doc, item, start, low, high in zip(*(x[near].tolist() for x in (doc, item, place[starts[step]], low, high))):
+            text = found[filled[doc]]
+            if not self._confirmed(item, text[low:high].tolist())[0]:
+                continue
+            for at in range(start, min(start + STEP, len(text))):
+                common, answer = self._confirmed(item, text[max(0, at - STEP) : at + len(self.words[item]) + STEP].tolist())
+                if common > more.get((doc, item), (0,))[0]:
+                    own, there = (self.weights[_terms(x)].sum(0) for x in (np.array(self.words[item], np.uint64), text[at : at + len(self.words[item])]))
+                    cos = float(own @ there / max(1e-12, np.linalg.norm(own) * np.linalg.norm(there)))
+                    more[doc, item] = (common, cos, self.ids[item], len(self.words[item]), answer, at)
+        best |= more
         for (doc, _), (common, cos, item, n, answer, at) in sorted(best.items()):
             out[filled[doc]].append((item, cos, common, n, answer, at))
         return out

@@ -142,3 +142,32 @@ def test_edges(spark):
     assert D.find_leaks(docs, none).collect() == [] and D.without_leaks(docs, none).count() == 7
     empty = spark.createDataFrame([], "doc_id bigint, text string")
     assert D.find_leaks(empty, bench).collect() == [] and D.without_leaks(empty, bench).collect() == []
+
+
+def is_leak(words, own, answer):
+    """Brute force: the rule at every place of a text."""
+    for at in range(len(words)):
+        near = words[max(0, at - D.STEP) : at + len(own) + D.STEP]
+        common = D.common_words(own, near)
+        if common >= D.LCS * len(own) or common >= D.PARAPHRASE * len(own) and D.common_words(answer, near) >= D.ANSWER * len(answer):
+            return True
+    return False
+
+
+@pytest.mark.parametrize("columns", [24, 0])
+def test_every_leak_is_found_whatever_its_cosine(columns):
+    r, word = word_maker(7)
+    common = [word() for _ in range(300)]
+    text = lambda k: [r.choice(common) for _ in range(k)]
+    rows = [(i, f"{' '.join(text(k)).capitalize()}. {' '.join(text(5)).capitalize()}.") for i, k in enumerate([10, 12, 15, 20, 33, 50, 130, 300])]
+    docs = []
+    for n in range(64):
+        own = [w if r.random() > n % 4 / 10 else word() for w in rows[n % 8][1].split()]
+        if n % 5 == 0:
+            own = [w for w in own if r.random() > 0.2]
+        docs.append(" ".join([*text(r.randint(0, 60)), *own, *text(r.randint(0, 60))]))
+    weights = np.random.default_rng(1).normal(size=(1 << D.TERM_BITS, columns)).astype(np.float32)
+    items = D.Items(rows, weights)
+    found = {(d, hit[0]) for d, hits in enumerate(items.leaks(docs)) for hit in hits}
+    want = {(d, i) for d, t in enumerate(docs) for i in range(8) if is_leak(D.hashed(t).tolist(), items.words[i], items.answers[i])}
+    assert len(want) > 40 and found == want

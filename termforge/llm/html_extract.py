@@ -3,7 +3,7 @@
 A page is a sequence of words and tags. Words score above zero and tags below; how much depends on what they are (a
 word in a link counts less than a plain one, a list tag costs more than a line break) and is learned as log-odds from
 labelled pages, which a seeded writer in this file makes. One linear scan finds the run with the highest sum. The
-deepest element that holds nearly all words of that run is the content region, and its text, without the elements
+deepest element that holds all words of that run, elements left out not counting, is the content region, and its text, without the elements
 that are never article text (scripts, menus, forms, adverts, comments, ...), is the result.
 """
 
@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from termforge.llm.common import table
 from termforge.llm.tokens import small_batches
 
-#: Labelled pages to learn from, and the share of the run's words that the content element must hold.
-PAGES, HOLDS = 400, 0.95
+#: Labelled pages to learn from.
+PAGES = 400
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|iframe|svg)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>",
     re.S | re.I,
@@ -151,14 +151,14 @@ class Extractor:
             self.scores[kind] = max(0.05, odds) if kind in ("w", "wa") else min(-0.5, odds)
 
     def region(self, tokens: list, elements: list[_Element], out: list[bool]) -> int:
-        """The element that holds the main text."""
+        """The smallest element that holds all words of the best run."""
         words = [len(raw.split()) if kind in ("w", "wa") and not out[at] else 0 for kind, raw, at in tokens]
-        scores = [self.scores["w" if kind == "w" else "wa"] * n if kind in ("w", "wa") else self.scores.get(kind, -1.0) for (kind, _, at), n in zip(tokens, words)]
+        scores = [self.scores["w" if kind == "w" else "wa"] * n if kind in ("w", "wa") else 0.0 if out[at] else self.scores.get(kind, -1.0) for (kind, _, at), n in zip(tokens, words)]
         first, last = best_run(scores)
         total = [0]
         for n in words:
             total.append(total[-1] + n)
-        need = HOLDS * (total[last] - total[first])
+        need = total[last] - total[first]
         best = 0
         for i, e in enumerate(elements):  # parents come before what they hold
             if e.name in _HOLDERS and not out[i] and need > 0:

@@ -57,3 +57,14 @@ def test_whole_table(spark, small):
     assert set(found) == set(pages)
     for i, r in found.items():
         assert r["url"] == pages[i]["url"] and r["n_chars"] == len(r["text"]) and "  " not in r["text"]
+
+
+def test_no_part_of_a_nested_article_is_lost():
+    long, ads = f"<p>{'word other words here ' * 100}</p>", "<p><a href='x'>buy</a></p>" * 60
+    for page, ends in (
+        (f"<body><article><h1>Title of it</h1><p>lede lines</p><div class='content'>{long}</div></article></body>", ("Title of it lede lines word", "words here")),
+        (f"<body><article><section>{long}</section><section><h2>Close</h2><p>closing words of the text</p></section></article></body>", ("word other", "Close closing words of the text")),
+        (f"<body><article><section><p>{'first words ' * 40}</p></section><div class='ad'>{ads}</div><section><p>{'second words ' * 40}</p></section></article></body>", ("first words", "second words")),
+    ):
+        text = H.extractor().text(page)
+        assert text.startswith(ends[0]) and text.endswith(ends[1]) and "buy" not in text

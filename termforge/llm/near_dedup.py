@@ -8,7 +8,9 @@ reach of the threshold are confirmed on their full sets.
 
 Small sets leave most registers empty, so for sets of at most SMALL shingles the hashes are kept (the sparse form of
 the sketch) and dealt to one part more than the shingles by which a pair at the threshold can differ, and a few
-to spare: a part in which the pair agrees is left. Sets meet in the size class of the larger one.
+to spare: a part in which the pair agrees is left. Empty parts have no key, so a set that fills no more parts than
+it can differ by is dealt anew, with other hashes, until it fills more: then one that it fills agrees, and of a pair
+the set that stops first meets the other there. Sets meet in the size class of the larger one.
 
 Equal sets are one node of the graph of links, so copies are never paired. Pairs are never written out either:
 
@@ -36,6 +38,8 @@ from termforge.llm.tokens import small_batches
 
 BUCKET_BITS, MANTISSA, BAND = 8, 10, 6
 SMALL, SPARE = 128, 3
+#: Ways at most in which a small set is dealt to parts.
+DEALS = 16
 #: Registers in the short form, a byte each.
 BRIEF = 128
 #: Standard errors below the threshold down to which an estimate is followed up.
@@ -127,15 +131,19 @@ def _key(parts: np.ndarray, *tags: np.ndarray | int) -> np.ndarray:
 def band_keys(hashes: np.ndarray, regs: np.ndarray, threshold: float, classes: list[int]) -> np.ndarray:
     """The keys under which a set meets others of at least the threshold."""
     n, found = len(hashes), []
-    reach = int(n / threshold + 1e-9)
+    reach, differ = int(n / threshold + 1e-9), int((1 - threshold) / threshold * n + 1e-9)
     for c, high in enumerate(classes):
         if high >= n and (not c or classes[c - 1] < reach):
             parts = int((1 - threshold) / threshold * high + 1e-9) + SPARE
-            part = ((hashes >> np.uint64(20)) & np.uint64(0xFFFFFFFF)) % np.uint64(parts)
-            order = np.argsort(part, kind="stable")
-            part = part[order]
-            first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-            found.append(_key(np.add.reduceat(_mixed(hashes[order]), first), part[first], 1000 + c))
+            for deal in range(DEALS):
+                dealt = _mixed(hashes + np.uint64(deal)) if deal else hashes
+                part = ((dealt >> np.uint64(20)) & np.uint64(0xFFFFFFFF)) % np.uint64(parts)
+                order = np.argsort(part, kind="stable")
+                part = part[order]
+                first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+                found.append(_key(np.add.reduceat(_mixed(hashes[order]), first), part[first], 1000 * (deal + 1) + c))
+                if len(first) > differ:
+                    break
     if reach > classes[-1]:
         bands = len(regs) // BAND
         rows = regs[: bands * BAND].reshape(bands, BAND).astype(np.uint64)

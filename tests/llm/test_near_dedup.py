@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from termforge.llm import near_dedup
@@ -126,3 +127,14 @@ def test_registers_estimate():
         a, b = np.unique(both[: n + rest]), np.unique(np.concatenate([both[:n], both[n + rest :]]))
         x, y = near_dedup.registers(a), near_dedup.registers(b)
         assert abs((x == y).mean() - share) < 0.12
+
+
+@pytest.mark.parametrize("common, more, others", [(4, 0, 1), (5, 0, 1), (6, 0, 1), (8, 1, 1), (8, 0, 2), (100, 12, 13)])
+def test_small_sets_at_the_threshold_always_share_a_key(common, more, others):
+    """Also when the parts in which they agree are empty."""
+    rng, classes = np.random.default_rng(3), near_dedup.size_classes(0.8)
+    hashes = rng.integers(0, 1 << 64, (4000, common + more + others), np.uint64)
+    regs = np.full(1 << near_dedup.BUCKET_BITS, near_dedup.EMPTY, np.uint16)
+    keys = lambda h: near_dedup.band_keys(np.sort(h), regs, 0.8, classes)
+    for h in hashes:
+        assert np.isin(keys(h[: common + more]), keys(np.delete(h, np.s_[common : common + more]))).any()

@@ -3,63 +3,53 @@
 1. Passages of STEP * 4 words are rows of a term-frequency matrix over 2^TERM_BITS hashed words. One distributed pass
    over all documents gives document frequencies and the sketch A'(A R) for a seeded random R; the driver, from these
    tables of fixed size, has the leading singular vectors of the TF-IDF matrix (single-pass randomised SVD, Nystrom).
-2. Every document is projected STEP words at a time; sums of 1, 2 and 4 neighbouring steps are its passages. Benchmark
-   items are projected as windows of the same lengths at all alignments. Passages whose cosine with a window, in
-   singular directions of equal weight, reaches COSINE are candidates.
-   So are all stretches that hold PARAPHRASE of an item's words in any order, whatever their cosine: no leak has
-   fewer, so the search misses none of those that 3. would confirm.
-3. A candidate is a leak if the longest common subsequence of words with the item, in place, is LCS of the item; or
+2. An inverted index of each item's rarest words leaves out the passages that can't be leaks. A leak holds PARAPHRASE of
+   the item's words, in order; so it holds HITS of any (1 - PARAPHRASE) n + HITS of its n words. The index has the rarest
+   ones, and a stretch that holds fewer of them than that is passed over, without loss.
+3. What is left is projected to the singular directions, which have equal weight: windows of an item's length, every half
+   step, are compared with the item by cosine. Windows that reach COSINE are retrieved; the others stay candidates too,
+   since the words that they share with the item could still make a leak: nothing is lost to the cosine, which a hit
+   reports.
+4. A candidate is a leak if the longest common subsequence of words with the item, in place, is LCS of the item; or
    PARAPHRASE of it, if the item's answer (its last sentence) is there too.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termforge.llm.common import table
 from termforge.llm.tokens import gathered, small_batches
+from termforge.llm.words import hashed_words
 
 #: RANK singular directions are used; MORE columns beyond them make the sketch of them accurate.
-STEP, TERM_BITS, RANK, MORE = 8, 14, 24, 4
-COSINE = {1: 0.9, 2: 0.85, 4: 0.8}
+STEP, TERM_BITS, RANK, MORE = 8, 14, 32, 8
+COSINE = 0.8
 LCS, PARAPHRASE, ANSWER = 0.7, 0.5, 0.8
-#: Items that one pass over the documents looks for; more items take more passes.
-BLOCK_ITEMS = 4000
-#: Items and steps whose words are counted together.
-COUNT_ITEMS, COUNT_STEPS = 256, 1024
+#: Characters of items, about, that one pass over the documents looks for; more items take more passes.
+BLOCK_CHARS = 8_000_000
+#: Bits of the first look-up of a word in the index, and of the look-up of a word and an item.
+INDEX_BITS, MEMBER_BITS = 20, 22
+#: Words of stretches that are counted together.
+COUNT_WORDS = 2_000_000
 _CHUNKS = 16
-_MOST_WORDS = 500_000
-#: ASCII characters that are neither letters nor digits.
-_EDGE = bytes(i for i in range(128) if not chr(i).isalnum())
-_HITS = "doc_id bigint, item_id bigint, cosine double, common bigint, item_words bigint, answer_found boolean, start_word bigint"
+_HITS = "doc_id bigint, item_id bigint, cosine double, common bigint, item_words bigint, answer_found boolean, start_word bigint, retrieved boolean"
 
 
-class _Words(dict):
-    """64-bit hashes of words without marks at their ends; 0 for marks alone."""
-
-    def __missing__(self, raw: bytes) -> int:
-        if len(self) > _MOST_WORDS:
-            self.clear()
-        word = raw.strip(_EDGE)
-        self[raw] = found = xxhash.xxh3_64_intdigest(word) | 1 if word else 0
-        return found
-
-
-_WORDS = _Words()
+def hashed_texts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of texts, in order (lower-cased, marks at word ends dropped), and the number of each text's."""
+    return hashed_words([t.lower().encode("utf-8", "replace") for t in texts], edges=True)
 
 
 def hashed(text: str) -> np.ndarray:
-    """Hashes of the words of a text, in order (lower-cased, marks at word ends dropped)."""
-    raw = text.lower().encode("utf-8", "replace").split()
-    h = np.fromiter(map(_WORDS.__getitem__, raw), np.uint64, len(raw))
-    return h[h > 0]
+    return hashed_texts([text])[0]
 
 
 def _terms(h: np.ndarray) -> np.ndarray:
@@ -94,11 +84,10 @@ def _sketch(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
         omega, width = _random(), STEP * 4
         out = np.zeros((cols, size))
         for group in gathered(((None, t) for b in batches for t in b["text"].to_pylist() if t), 600_000):
-            found = [_terms(hashed(t)) for _, t in group]
-            found = [x for x in found if len(x)]
-            if not found:
+            terms, sizes = hashed_texts([t for _, t in group])
+            terms, sizes = _terms(terms), sizes[sizes > 0]
+            if not len(terms):
                 continue
-            terms, sizes = np.concatenate(found), np.fromiter(map(len, found), np.int64, len(found))
             first = np.cumsum(sizes) - sizes
             place = np.arange(len(terms)) - np.repeat(first, sizes)
             starts = np.flatnonzero(place % width == 0)
@@ -137,8 +126,9 @@ def _sketch(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
     return out[RANK + MORE], out[: RANK + MORE].T, int(out[RANK + MORE + 1, 0])
 
 
-def directions(docs: DataFrame) -> np.ndarray:
-    """A row for each term: its weight in the leading singular directions of TF-IDF, which have equal weight."""
+def directions(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """A row for each term: its weight in the leading singular directions of TF-IDF, which have equal weight; and the
+    number of passages that each term is in."""
     df, g, n = _sketch(docs)
     idf = np.log((n + 1) / (df + 1)) + 0.1
     omega = _random().astype(float)
@@ -151,195 +141,202 @@ def directions(docs: DataFrame) -> np.ndarray:
     root = vectors[:, good] / np.sqrt(values[good])
     u, s, _ = np.linalg.svd(y @ root, full_matrices=False)
     k = min(RANK, int((s > 1e-6 * s[0]).sum())) if len(s) else 0
-    return np.ascontiguousarray((idf[:, None] * u[:, :k] / np.maximum(s[:k], 1e-12)).astype(np.float32))
+    return np.ascontiguousarray((idf[:, None] * u[:, :k] / np.maximum(s[:k], 1e-12)).astype(np.float32)), df
+
+
+def _needed(n: int) -> int:
+    """Words of an item of n that every leak of it holds."""
+    return max(1, math.ceil(PARAPHRASE * n - 1e-9))
 
 
-def _unit(x: np.ndarray) -> np.ndarray:
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+def _subsequence(matched: list[int], full: int) -> int:
+    """Length of the longest common subsequence, from the places in the item, as bits, of each word of a stretch."""
+    s = full
+    for m in matched:
+        u = s & m
+        s = (s + u | s - u) & full
+    return full.bit_length() - s.bit_count()
 
 
 class Items:
-    """Benchmark items and their windows, for the search in documents."""
+    """Benchmark items and the index of their rarest words, for the search in documents."""
 
-    def __init__(self, rows: list[tuple[int, str]], weights: np.ndarray) -> None:
+    def __init__(self, rows: list[tuple[int, str]], weights: np.ndarray, df: np.ndarray | None = None) -> None:
         self.ids, self.words, self.answers, self.weights = [], [], [], weights
-        found: dict[int, list[tuple[np.ndarray, int, int]]] = {1: [], 2: [], 4: []}
+        rare, owner = [], []
         for item, text in rows:
             h = hashed(text or "")
             if not len(h):
                 continue
             last = [hashed(s) for s in re.split(r"(?<=[.!?])\s+", text.strip())]
             last = [s for s in last if len(s) >= 2]
-            n = len(self.ids)
+            often = df[_terms(h)] if df is not None else np.zeros(len(h))
+            places = np.lexsort((h, often))[: len(h) - _needed(len(h)) + self._hits(len(h))]
+            found = np.unique(h[places])
+            rare.append(found)
+            owner.append(np.full(len(found), len(self.ids)))
             self.ids.append(item)
             self.words.append(h.tolist())
             self.answers.append(last[-1].tolist() if last else h.tolist())
-            steps = 4 if len(h) >= 5 * STEP - 1 else 2 if len(h) >= 3 * STEP - 1 else 1
-            width = min(len(h), steps * STEP)
-            # at least all alignments with the steps of a document; beyond those every half step
-            for a in range(len(h) - width + 1):
-                if a < STEP and (steps == 1 or a % 2 == 0) or a % (STEP // 2) == 0:
-                    found[steps].append((weights[_terms(h[a : a + width])].sum(0), n, a))
         self.sizes = np.array([len(w) for w in self.words], np.int64)
-        self.counts: np.ndarray | None = None
-        self.member: np.ndarray | None = None
-        self.queries = {k: (_unit(np.stack([x[0] for x in v])), np.array([x[1] for x in v]), np.array([x[2] for x in v])) for k, v in found.items() if v and weights.shape[1]}
-
-    def _count_terms(self) -> None:
-        """A byte for each item and term, made where it is needed."""
-        if self.counts is None:
-            self.counts = np.zeros((len(self.words), 1 << TERM_BITS), np.uint8)
-            for i, own in enumerate(self.words):
-                found, n = np.unique(_terms(np.array(own, np.uint64)), return_counts=True)
-                self.counts[i, found] = np.minimum(n, 255)
-            self.member = np.zeros(((1 << TERM_BITS) + 1, len(self.words)), np.uint8)
-            self.member[:-1] = (self.counts > 0).T
-
-    def _holding(self, terms: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(step, item) wherever a leak may begin in the step: the words from a step before it to a step beyond the item's
-        length hold PARAPHRASE of the item's words, repeated ones counted each time. It bounds every subsequence there."""
-        self._count_terms()
-        need = np.ceil(PARAPHRASE * self.sizes).astype(np.int64)
-        span = -(-(self.sizes + 2 * STEP - 1) // STEP) + 1
-        order = np.argsort(span, kind="stable")
-        padded = np.full((len(starts), STEP), 1 << TERM_BITS)  # the last row of member has no item
-        lengths = np.diff(starts, append=len(terms))
-        padded[np.repeat(np.arange(len(starts)), lengths), np.arange(len(terms)) - np.repeat(starts, lengths)] = terms
-        steps, items = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for c in range(0, len(order), COUNT_ITEMS):
-            cols = order[c : c + COUNT_ITEMS]
-            member, most, size = np.ascontiguousarray(self.member[:, cols]), int(span[cols].max()), span[cols]
-            wide = np.uint8 if STEP * most < 256 else np.uint32
-            least, cuts = need[cols].astype(wide), np.flatnonzero(np.diff(size, prepend=-1, append=-1)).tolist()
-            for a in range(0, len(starts), COUNT_STEPS):
-                b = min(len(starts), a + COUNT_STEPS)
-                # from a step before to `most` beyond; what belongs to other documents only loosens the bound
-                low, high = max(0, a - 1), min(len(starts), b + most)
-                own = np.zeros((b - a + 1 + 2 * most, len(cols)), wide)
-                part = own[low - a + 1 : high - a + 1]
-                for k in range(STEP):
-                    part += member.take(padded[low:high, k], 0)
-                sums = [own]  # of 1, 2, 4 and so on neighbouring steps
-                while 2 << len(sums) - 1 <= most:
-                    half = 1 << len(sums) - 1
-                    sums.append(sums[-1][:-half] + sums[-1][half:])
-                for i, j in zip(cuts[:-1], cuts[1:]):
-                    total, at = np.zeros((b - a, j - i), wide), 0
-                    for k, x in enumerate(sums):
-                        if int(size[i]) >> k & 1:
-                            total += x[at : at + b - a, i:j]
-                            at += 1 << k
-                    x, y = np.divmod(np.flatnonzero(total >= least[i:j]), j - i)
-                    steps.append(a + x)
-                    items.append(cols[i + y])
-        return np.concatenate(steps), np.concatenate(items)
-
-    def _confirmed(self, item: int, near: list[int]) -> tuple[int, bool]:
-        """Words in common with the item, and whether its answer is there; (0, False) if it's no leak."""
+        self.hits = np.array([self._hits(n) for n in self.sizes.tolist()], np.int64)
+        words, items = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (rare, owner))
+        order = np.argsort(words, kind="stable")
+        words, self.items = words[order], items[order].astype(np.int64)
+        self.rare, self.first, self.many = np.unique(words, return_index=True, return_counts=True)
+        self.flags = np.zeros(1 << INDEX_BITS, bool)
+        self.flags[self.rare >> np.uint64(64 - INDEX_BITS)] = True
+        self.members = np.zeros(1 << MEMBER_BITS, bool)
+        if self.words:
+            every = np.concatenate([np.array(w, np.uint64) for w in self.words])
+            self.members[self._member(every, np.repeat(np.arange(len(self.words)), self.sizes))] = True
+        self.places: dict[int, dict[int, int]] = {}
+
+    @staticmethod
+    def _member(words: np.ndarray, items: np.ndarray) -> np.ndarray:
+        return (words ^ items.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(64 - MEMBER_BITS)
+
+    @staticmethod
+    def _hits(n: int) -> int:
+        return max(1, _needed(n) // 3)
+
+    def _stretches(self, words: np.ndarray, owner: np.ndarray) -> list[tuple[int, int, int]]:
+        """(item, start, end) of all stretches of one document's words where a leak of the item may lie."""
+        at = np.flatnonzero(self.flags[words >> np.uint64(64 - INDEX_BITS)])
+        if not len(at):
+            return []
+        row = np.minimum(np.searchsorted(self.rare, words[at]), len(self.rare) - 1)
+        same = self.rare[row] == words[at]
+        at, row = at[same], row[same]
+        if not len(at):
+            return []
+        many = self.many[row]
+        pos = np.repeat(at, many)
+        item = self.items[np.repeat(self.first[row] - np.cumsum(many) + many, many) + np.arange(len(pos))]
+        order = np.argsort(item * len(words) + pos)
+        item, pos = item[order], pos[order]
+        reach = self.sizes[item] + 2 * STEP
+        last = np.arange(len(pos)) + self.hits[item] - 1
+        good = last < len(pos)
+        last = np.minimum(last, len(pos) - 1)
+        end = pos[last]
+        good &= (item[last] == item) & (end - pos < reach) & (owner[end] == owner[pos])
+        item, low, high, reach = item[good], pos[good], end[good], reach[good]
+        if not len(item):
+            return []
+        # every stretch as long as a leak that holds these words; those that overlap are one
+        start, end = high - reach + 1, low + reach
+        new = np.ones(len(item), bool)
+        new[1:] = (item[1:] != item[:-1]) | (owner[low[1:]] != owner[low[:-1]]) | (start[1:] > end[:-1])
+        begin = np.flatnonzero(new)
+        stop = np.append(begin[1:], len(item)) - 1
+        doc = owner[low[begin]]
+        first, beyond = np.searchsorted(owner, doc), np.searchsorted(owner, doc, "right")
+        item, start, end = item[begin], np.maximum(start[begin], first), np.minimum(end[stop], beyond)
+        found = np.cumsum(end - start)
+        cuts = [0, *np.searchsorted(found, np.arange(COUNT_WORDS, found[-1], COUNT_WORDS)).tolist(), len(item)]
+        kept = np.concatenate([a + self._full(words, item[a:b], start[a:b], end[a:b]) for a, b in zip(cuts, cuts[1:]) if a < b])
+        return list(zip(item[kept].tolist(), start[kept].tolist(), end[kept].tolist()))
+
+    def _full(self, words: np.ndarray, item: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Numbers of the stretches in which as many words as a leak needs are the item's, as close together as in one."""
+        sizes = end - start
+        of = np.repeat(np.arange(len(item)), sizes)
+        pos = np.arange(len(of)) + np.repeat(start - np.cumsum(sizes) + sizes, sizes)
+        held = np.flatnonzero(self.members[self._member(words[pos], item[of])])
+        of, pos = of[held], pos[held]
+        n = self.sizes[item[of]]
+        last = np.arange(len(of)) + np.maximum(1, np.ceil(PARAPHRASE * n - 1e-9).astype(np.int64)) - 1
+        good = last < len(of)
+        last = np.minimum(last, len(of) - 1)
+        good &= (of[last] == of) & (pos[last] - pos < n + 2 * STEP)
+        return np.unique(of[good])
+
+    def _cosine(self, item: int, terms: np.ndarray) -> float:
+        """The highest cosine with the item of the windows of its length, every half step."""
+        if not self.weights.shape[1]:
+            return 0.0
+        n = len(self.words[item])
+        own = self.weights[_terms(np.array(self.words[item], np.uint64))].sum(0)
+        sums = np.concatenate([np.zeros((1, len(own))), np.cumsum(self.weights.take(terms, 0), 0, np.float64)])
+        a = np.arange(0, max(1, len(terms) - n + 1), STEP // 2)
+        there = sums[np.minimum(a + n, len(terms))] - sums[a]
+        return float((there @ own / np.maximum(np.linalg.norm(there, axis=1) * np.linalg.norm(own), 1e-12)).max())
+
+    def _leak(self, item: int, words: np.ndarray) -> tuple | None:
+        """(cosine, common, item words, answer found, start, retrieved) of the best leak in a stretch of words."""
         own = self.words[item]
-        common = common_words(own, near)
-        answer = common >= PARAPHRASE * len(own) and common_words(self.answers[item], near) >= ANSWER * len(self.answers[item])
-        return (common, bool(answer)) if common >= LCS * len(own) or answer else (0, False)
-
-    def _most_common(self, terms: np.ndarray, low: np.ndarray, sizes: np.ndarray, item: np.ndarray) -> np.ndarray:
-        """For each stretch of words a bound on its longest common subsequence with the item: terms in common, as often as both have them."""
-        self._count_terms()
-        out = np.zeros(len(low), np.int64)
-        for a in range(0, len(low), 8192):
-            n = sizes[a : a + 8192]
-            row = np.repeat(np.arange(len(n)), n)
-            source = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[a : a + 8192], n)
-            found, own = terms[source], item[a : a + 8192]
-            kept = np.flatnonzero(self.counts.ravel().take((own.astype(np.int64) << TERM_BITS)[row] + found))
-            keys = (row[kept] << TERM_BITS) + found[kept]
-            keys.sort()
-            count = np.arange(len(keys))
-            count -= np.maximum.accumulate(np.where(np.diff(keys, prepend=-1) != 0, count, 0))
-            row, term = keys >> TERM_BITS, keys & (1 << TERM_BITS) - 1
-            both = count < self.counts[own[row], term]
-            out[a : a + 8192] = np.bincount(row[both], minlength=len(n))
-        return out
+        n, need = len(own), _needed(len(own))
+        if item not in self.places:
+            places: dict[int, int] = {}
+            for i, w in enumerate(own):
+                places[w] = places.get(w, 0) | 1 << i
+            if len(self.places) > 10_000:
+                self.places.clear()
+            self.places[item] = places
+        places = self.places[item]
+        held = [(i, m) for i, w in enumerate(words.tolist()) if (m := places.get(w))]
+        if len(held) < need:
+            return None
+        at, matched, full = [i for i, _ in held], [m for _, m in held], (1 << n) - 1
+        if _subsequence(matched, full) < need:
+            return None
+        cosine = self._cosine(item, _terms(words))
+        best, low, high, reach, text = None, 0, 0, n + 2 * STEP, None
+        for low in range(len(at)):  # a window matters from each of the words in common
+            while high < len(at) and at[high] < at[low] + reach:
+                high += 1
+            if high - low < max(need, best[0] + 1 if best else 0):
+                continue
+            common = _subsequence(matched[low:high], full)
+            if common < need or best and common <= best[0]:
+                continue
+            text = words.tolist() if text is None else text
+            begin = max(0, at[low])
+            answer = common_words(self.answers[item], text[begin : begin + reach]) >= ANSWER * len(self.answers[item])
+            if common >= LCS * n or answer:
+                best = (common, bool(answer), begin)
+            if common == n and answer:
+                break
+        return (cosine, best[0], n, best[1], best[2], cosine >= COSINE) if best else None
 
     def leaks(self, texts: list[str]) -> list[list[tuple]]:
-        """For each text its hits: (item_id, cosine, common, item words, answer found, start word)."""
-        found = [hashed(t) for t in texts]
+        """For each text its hits: (item_id, cosine, common, item words, answer found, start word, retrieved)."""
         out: list[list[tuple]] = [[] for _ in texts]
-        filled = [i for i, h in enumerate(found) if len(h)]
-        if not filled or not self.words:
+        if not self.words or not texts:
             return out
-        words = np.concatenate([found[i] for i in filled])
-        sizes = np.array([len(found[i]) for i in filled])
-        first = np.cumsum(sizes) - sizes
-        place = np.arange(len(words)) - np.repeat(first, sizes)
-        starts = np.flatnonzero(place % STEP == 0)
-        steps = np.add.reduceat(self.weights.take(_terms(words), 0), starts, 0)
-        owner = np.repeat(np.arange(len(filled)), sizes)[starts]
-        hits: list[tuple[np.ndarray, ...]] = []
-        for k, (queries, item, shift) in self.queries.items():
-            padded = np.concatenate([steps, np.zeros((k, steps.shape[1]), np.float32)])
-            sums = sum(padded[j : j + len(steps)] * (np.concatenate([owner, np.full(k, -1)])[j : j + len(steps)] == owner)[:, None] for j in range(k))
-            sums, turned = _unit(sums), np.ascontiguousarray(queries.T)
-            for a in range(0, len(sums), 512):  # products that stay in the cache
-                cos = (sums[a : a + 512] @ turned).ravel()
-                at = np.flatnonzero(cos >= COSINE[k])
-                if len(at):
-                    w, q = np.divmod(at, len(queries))
-                    hits.append((owner[a + w], item[q], place[starts[a + w]] - shift[q], cos[at]))
+        words, sizes = hashed_texts(texts)
+        owner, first = np.repeat(np.arange(len(texts)), sizes), np.cumsum(sizes) - sizes
         best: dict[tuple[int, int], tuple] = {}
-        if hits:
-            doc, item, at, cos = map(np.concatenate, zip(*hits))
-            order = np.lexsort((-cos, at, item, doc))
-            doc, item, at, cos = doc[order], item[order], at[order], cos[order]
-            new = np.ones(len(doc), bool)
-            new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (at[1:] != at[:-1])
-            doc, item, at, cos = doc[new], item[new], at[new], cos[new]
-            low = np.maximum(0, at - STEP)
-            high = np.minimum(at + self.sizes[item] + STEP, sizes[doc])
-            near = self._most_common(_terms(words), first[doc] + low, np.maximum(high - low, 0), item) >= min(LCS, PARAPHRASE) * self.sizes[item]
-            for doc, item, at, cos in zip(*(x[near].tolist() for x in (doc, item, at, cos))):
-                common, answer = self._confirmed(item, found[filled[doc]][max(0, at - STEP) : at + len(self.words[item]) + STEP].tolist())
-                hit = (common, cos, self.ids[item], len(self.words[item]), answer, max(0, at))
-                if common and hit[:2] > best.get((doc, item), (0, 0.0))[:2]:
-                    best[doc, item] = hit
-        # Leaks that the cosine missed.
-        step, item = self._holding(_terms(words), starts)
-        doc = owner[step]
-        if best:
-            had = np.array([d * len(self.words) + i for d, i in best])
-            new = ~np.isin(doc * len(self.words) + item, had)
-            step, item, doc = step[new], item[new], doc[new]
-        low = np.maximum(0, place[starts[step]] - STEP)
-        high = np.minimum(place[starts[step]] + self.sizes[item] + 2 * STEP - 1, sizes[doc])
-        near = self._most_common(_terms(words), first[doc] + low, high - low, item) >= PARAPHRASE * self.sizes[item]
-        more: dict[tuple[int, int], tuple] = {}
-        for doc, item, start, low, high in zip(*(x[near].tolist() for x in (doc, item, place[starts[step]], low, high))):
-            text = found[filled[doc]]
-            if not self._confirmed(item, text[low:high].tolist())[0]:
-                continue
-            for at in range(start, min(start + STEP, len(text))):
-                common, answer = self._confirmed(item, text[max(0, at - STEP) : at + len(self.words[item]) + STEP].tolist())
-                if common > more.get((doc, item), (0,))[0]:
-                    own, there = (self.weights[_terms(x)].sum(0) for x in (np.array(self.words[item], np.uint64), text[at : at + len(self.words[item])]))
-                    cos = float(own @ there / max(1e-12, np.linalg.norm(own) * np.linalg.norm(there)))
-                    more[doc, item] = (common, cos, self.ids[item], len(self.words[item]), answer, at)
-        best |= more
-        for (doc, _), (common, cos, item, n, answer, at) in sorted(best.items()):
-            out[filled[doc]].append((item, cos, common, n, answer, at))
+        for item, start, end in self._stretches(words, owner):
+            doc = int(owner[start])
+            hit = self._leak(item, words[start:end])
+            if hit and ((doc, item) not in best or hit[1] > best[doc, item][1]):
+                best[doc, item] = (*hit[:4], hit[4] + start - int(first[doc]), hit[5])
+        for (doc, item), hit in sorted(best.items()):
+            out[doc].append((self.ids[item], *hit))
         return out
 
 
-def _blocks(benchmark: DataFrame, weights: np.ndarray) -> Iterator[Items]:
-    """Items in blocks of BLOCK_ITEMS, by item_id."""
+def _blocks(benchmark: DataFrame, weights: np.ndarray, df: np.ndarray) -> Iterator[Items]:
+    """Items in blocks of BLOCK_CHARS characters, about; twice that at most, but for a single item beyond it."""
     numbered = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text IS NOT NULL").distinct()
-    blocks = -(-numbered.count() // BLOCK_ITEMS)
+    chars, items, longest = numbered.agg(F.sum(F.length("text")), F.count("*"), F.max(F.length("text"))).first()
+    blocks = -(-(chars or 0) // BLOCK_CHARS) if items else 0
+    number = lambda: F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
+    while 1 < blocks < 4 * items:
+        if numbered.groupBy(number().alias("b")).agg(F.sum(F.length("text")).alias("n")).agg(F.max("n")).first()[0] <= max(2 * BLOCK_CHARS, longest):
+            break
+        blocks *= 2
     for i in range(blocks):
-        rows = numbered.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == i).collect()
-        yield Items(sorted((r["item_id"] if r["item_id"] is not None else -1, r["text"]) for r in rows), weights)
+        rows = numbered.where(number() == i).collect()
+        if rows:
+            yield Items(sorted((r["item_id"] if r["item_id"] is not None else -1, r["text"]) for r in rows), weights, df)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """A row for each document and the benchmark item that it contains: doc_id, item_id, cosine, common, item_words,
-    answer_found, start_word.
+    answer_found, start_word, retrieved (the cosine alone would have found it).
 
     Null or empty texts and items have no leaks; items without item_id count as -1. Rows with one doc_id are searched
     each and give rows each. Every window of a whole text is searched. Extra columns are ignored.
@@ -347,17 +344,17 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    weights, out = directions(docs), None
-    for items in _blocks(benchmark, weights):
-        shared = spark.sparkContext.broadcast(items)  # BLOCK_ITEMS items at most
+    (weights, df), out = directions(docs), None
+    for items in _blocks(benchmark, weights, df):
+        shared = spark.sparkContext.broadcast(items)  # of a bounded size, see _blocks
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for group in gathered(((d, t) for b in batches for d, t in zip(b["doc_id"].to_pylist(), b["text"].to_pylist()) if t), 600_000):
                 rows = [(d, *hit) for (d, _), hits in zip(group, shared.value.leaks([t for _, t in group])) for hit in hits]
                 if rows:
-                    d, item, cos, common, n, answer, at = zip(*rows)
+                    d, item, cos, common, n, answer, at, retrieved = zip(*rows)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(d, pa.int64()), pa.array(item, pa.int64()), pa.array(cos, pa.float64()), pa.array(common, pa.int64()), pa.array(n, pa.int64()), pa.array(answer, pa.bool_()), pa.array(at, pa.int64())],
+                        [pa.array(d, pa.int64()), pa.array(item, pa.int64()), pa.array(cos, pa.float64()), pa.array(common, pa.int64()), pa.array(n, pa.int64()), pa.array(answer, pa.bool_()), pa.array(at, pa.int64()), pa.array(retrieved, pa.bool_())],
                         names=[x.split()[0] for x in _HITS.split(", ")],
                     )
 
@@ -370,8 +367,8 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that contain no benchmark item, as they are; null texts stay."""
     spark = docs.sparkSession
     small_batches(spark)
-    weights = directions(docs)
-    for items in _blocks(benchmark, weights):
+    weights, df = directions(docs)
+    for items in _blocks(benchmark, weights, df):
         shared = spark.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

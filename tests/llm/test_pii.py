@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from termforge.llm import pii
 
@@ -79,3 +80,30 @@ def test_redaction_and_edges(spark):
     assert sorted((r["doc_id"] or 0, r["n_email"]) for r in pii.find_pii(docs).collect()) == [(0, 1), (1, 1), (2, 0), (3, 0), (3, 0), (4, 1)]
     empty = spark.createDataFrame([], "doc_id bigint, text string")
     assert pii.find_pii(empty).collect() == [] and pii.redact_pii(empty).collect() == []
+
+
+def test_long_secrets_accounts_and_addresses_are_whole():
+    m = pii.model()
+    shown = lambda t: pii.shown(m.spans(t)[1])
+    r = random.Random(2)
+    secret = "".join(r.choice("abcdefXYZ0123456789") for _ in range(240))
+    assert shown(f"the token = {secret} ends") == "secret:12:252"
+    local = "a.b" * 30
+    assert shown(f"mail {local} at example dot com now") == f"email:5:{5 + len(local) + 19}"
+
+
+def test_many_spans_of_one_text_cost_in_proportion():
+    m = pii.model()
+    began = time.time()
+    text = "call 555-123-4567 or a@b.cd, jane at mail dot com; " * 10_000
+    base, every = m.spans(text)
+    assert len(base) == 10_000 and len(every) >= 20_000 and time.time() - began < 60
+    for hostile in ("a.at." * 40_000, "at " * 60_000, "1 " * 100_000, "x-" * 100_000 + "1", " at ".join("a" * 10 for _ in range(20_000))):
+        began = time.time()
+        m.spans(hostile)
+        assert time.time() - began < 20, hostile[:10]
+
+
+def test_thresholds_come_from_examples_of_another_writer():
+    m = pii.model()
+    assert all(0.5 <= t <= pii.MOST for t in m.thresholds.values()) and any(t > 0.5 for t in m.thresholds.values())

@@ -29,19 +29,35 @@ _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|iframe|svg)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>",
     re.S | re.I,
 )
-_NAMED = re.compile(r"(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_NAMED = re.compile(r"(?<![\w-])(class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark picture q s samp small span strike strong sub sup time tt u var wbr".split())
 _NEVER = frozenset("nav footer aside form button select option dialog menu object canvas audio video fieldset head".split())
 _NOT_TEXT = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|newsletter|subscribe|subscription|signup|sidebar|side-bar|menu|nav|navbar|navigation|breadcrumbs?|footer|masthead|site-header|page-header|topbar"
     r"|comments?|respond|replies|disqus|share|sharing|social|related|recommended|popup|modal|overlay|skip-link|toolbar|widget|pagination|pager|search)(?:$|[\s_-])",
     re.I,
 )
+#: Elements whose class, role or label may say that they are not article text; an id says so only as a whole, since
+#: headings and sections have ids made of their words.
+_NAMED_PARTS = frozenset("div section ul ol dl table td tr center header footer figure iframe details main span".split())
+_ENDED = ("head", "nav", "form", "title")
 _HOLDERS = frozenset("html body main article section div td center".split())
 _CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 
 
+def _named_so(name: str, attributes: str) -> bool:
+    """Whether its names say that an element is not article text."""
+    for key, *values in _NAMED.findall(attributes):
+        for v in filter(None, values):
+            if key.lower() != "id":
+                if _NOT_TEXT.search(v):
+                    return True
+            elif all(_NOT_TEXT.fullmatch(w) for w in re.split(r"[\s_-]+", v) if w):
+                return True
+    return False
+
+
 class _Element:
     __slots__ = ("name", "first", "last", "parent", "out")
 
@@ -57,7 +73,7 @@ def parsed(page: str) -> tuple[list[tuple[str, str, int]], list[_Element]]:
     """
     tokens: list[tuple[str, str, int]] = []
     elements = [_Element("", 0, -1, False)]
-    stack = [0]
+    stack, opened = [0], Counter()
     links = 0
 
     def text(raw: str) -> None:
@@ -69,6 +85,7 @@ def parsed(page: str) -> tuple[list[tuple[str, str, int]], list[_Element]]:
         while len(stack) > to:
             e = elements[stack.pop()]
             e.last = len(tokens)
+            opened[e.name] -= 1
             links -= e.name == "a"
 
     at = 0
@@ -81,25 +98,26 @@ def parsed(page: str) -> tuple[list[tuple[str, str, int]], list[_Element]]:
         name = name.lower()
         if m[2]:
             tokens.append((name, "" if name in _INLINE else " ", stack[-1]))
-            for i in range(len(stack) - 1, 0, -1):
-                if elements[stack[i]].name == name:
-                    close(i)
-                    break
+            if opened[name] > 0:  # what is looked through is closed, so a page costs its length
+                i = len(stack) - 1
+                while elements[stack[i]].name != name:
+                    i -= 1
+                close(i)
             continue
         if name in _CLOSES_P and elements[stack[-1]].name == "p" or name == "li" and elements[stack[-1]].name == "li":
             close(len(stack) - 1)
         if name == "body" or name in ("article", "main"):
-            for i in range(len(stack) - 1, 0, -1):  # a head or menu that was left open ends here
-                if elements[stack[i]].name in ("head", "nav", "form", "title"):
-                    close(i)
+            while any(opened[x] > 0 for x in _ENDED):  # a head or menu that was left open ends here
+                close(len(stack) - 1)
         tokens.append((name, "" if name in _INLINE else " ", stack[-1]))
         if name in _VOID or m[4].endswith("/"):
             continue
-        inside = any(elements[i].name in ("article", "main") for i in stack)
+        inside = opened["article"] > 0 or opened["main"] > 0
         out = name in _NEVER or name == "header" and not inside
-        if not out and m[4] and name not in ("html", "body", "article", "main"):
-            out = any(_NOT_TEXT.search(v) for found in _NAMED.findall(m[4]) for v in found if v)
+        if not out and m[4] and name in _NAMED_PARTS:
+            out = _named_so(name, m[4])
         elements.append(_Element(name, len(tokens), stack[-1], out))
+        opened[name] += 1
         links += name == "a"
         stack.append(len(elements) - 1)
     text(page[at:])

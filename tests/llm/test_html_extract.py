@@ -1,4 +1,5 @@
 import random
+import time
 
 from termforge.llm import html_extract as H
 
@@ -68,3 +69,27 @@ def test_no_part_of_a_nested_article_is_lost():
     ):
         text = H.extractor().text(page)
         assert text.startswith(ends[0]) and text.endswith(ends[1]) and "buy" not in text
+
+
+def test_ids_and_names_inside_the_article():
+    page = "<body><div class='comments-box'>no</div><article><h2 id='search'>Search</h2><p>find it</p><h2 id='comments-on-method'>Method</h2><section id='related-work'><p class='alert'>take care</p></section><p>foo<img src=x>bar</p><div id='comments'>I agree</div></article></body>"
+    assert H.extractor().text(page) == "Search find it Method take care foobar"
+
+
+def test_closing_tags_that_match_nothing_cost_their_length():
+    began = time.time()
+    for page in ("<div>" * 50_000 + "</b>" * 100_000 + "words here", "<nav>" + "<i>" * 20_000 + "<article>" * 20_000 + "words here", "<article>" + "<span></nope>" * 50_000 + "words here"):
+        assert H.extractor().text(page).endswith("words here")
+    assert time.time() - began < 20
+
+
+def test_gold_texts_of_pages_without_article():
+    """Made-up pages whose main text is known word for word, in a plain div, with two sections and a picture in it."""
+    r = random.Random(6)
+    words = lambda k: " ".join(r.choice(("iron", "lake", "stone", "north", "river", "quiet")) for _ in range(k))
+    for _ in range(60):
+        parts = [words(r.randint(3, 8)), *(words(r.randint(15, 70)) for _ in range(r.randint(3, 8)))]
+        inner = f"<h1 id='menu'>{parts[0]}</h1>" + "".join(f"<section><p>{p[: len(p) // 2]}<img src=y>{p[len(p) // 2 :]}</p></section>" for p in parts[1:])
+        around = "".join(f"<li><a href='/{i}'>{words(2)}</a></li>" for i in range(12))
+        page = f"<html><body><nav><ul>{around}</ul></nav><div><div>{inner}<div class='ad'>{words(20)}</div></div></div><div class='sidebar'>{words(30)}</div><ul>{around}</ul><footer>{words(9)}</footer></body></html>"
+        assert H.extractor().text(page) == " ".join(parts)

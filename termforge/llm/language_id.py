@@ -3,7 +3,7 @@
 The network is trained here, in numpy, by backpropagation through time. It labels every byte position of a
 segment with language probabilities, and a document's probabilities are the mean over its positions.
 
-A segment is a run of non-space characters between two space bytes, cut after SEGMENT bytes. The network reads
+A segment is a run of non-space characters between two space bytes, cut between characters after SEGMENT bytes. The network reads
 segments one by one, so equal segments have equal labels: a worker runs each distinct segment once and then adds
 up what it has. Segments without a letter say nothing about the language and are left out of the mean.
 """
@@ -22,15 +22,14 @@ from pyspark.sql import functions as F
 from termforge.llm.common import table
 from termforge.llm.tokens import gathered, small_batches
 
-#: Training takes at most this many documents of a language, this many characters of each, and this many segments.
-SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_SEGMENTS = 1024, 1200, 30_000
-#: At most this many languages are learned (those with most documents, then by name).
-LANGUAGES = 64
-SEGMENT, HIDDEN = 24, 12
+#: Training takes at most this many labelled documents: at most SAMPLE_DOCS of a language, and as many of each language
+#: as SAMPLE_ROWS allows for all, the more frequent languages first; this many characters of each, and this many segments.
+SAMPLE_ROWS, SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_SEGMENTS = 16_384, 1024, 1200, 30_000
+SEGMENT, HIDDEN = 48, 12
 EPOCHS, BATCH, RATE = 6, 128, 0.01
 UNKNOWN = "und"
-#: A worker forgets segments beyond this many.
-MOST_SEGMENTS = 600_000
+#: A worker forgets segments beyond this many numbers about them, and labels so many positions' languages at once.
+MOST_CELLS, LABEL_CELLS = 8_000_000, 20_000_000
 _ASCII = re.compile(r"[A-Za-z]")
 _GATES = ("forward", "backward")
 
@@ -45,9 +44,15 @@ def segments(text: str) -> list[str]:
 
 
 def framed(segment: str) -> list[bytes]:
-    """The bytes of a segment, in runs of at most SEGMENT, each between two spaces."""
-    raw = segment.encode("utf-8", "replace")
-    return [b" " + raw[i : i + SEGMENT] + b" " for i in range(0, len(raw), SEGMENT)]
+    """The bytes of a segment, in runs of at most SEGMENT that end with a character, each between two spaces."""
+    raw, out, at = segment.encode("utf-8", "replace"), [], 0
+    while at < len(raw):
+        end = min(len(raw), at + SEGMENT)
+        while end < len(raw) and raw[end] & 0xC0 == 0x80:
+            end -= 1
+        out.append(b" " + raw[at:end] + b" ")
+        at = end
+    return out
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -165,7 +170,7 @@ class SegmentLabels:
 
     def learn(self, found: list[str]) -> None:
         new = list(set(found).difference(self.known))
-        if len(self.known) + len(new) > MOST_SEGMENTS:
+        if (len(self.known) + len(new)) * (self.width + 1) > MOST_CELLS:
             self.forget()
             new = list(set(found))
         at = len(self.known)
@@ -179,9 +184,10 @@ class SegmentLabels:
                     held[0].append(x)
                     held[1].append(i)
         for length, (rows, where) in by_length.items():
-            for a in range(0, len(rows), 4096):
-                x = np.frombuffer(b"".join(rows[a : a + 4096]), np.uint8).reshape(-1, length)
-                np.add.at(self.sums, where[a : a + 4096], np.concatenate([self.model.label(x).sum(0), np.full((len(x), 1), length, np.float32)], 1))
+            some = max(1, min(4096, LABEL_CELLS // (length * (self.width + 2 * self.model.hidden))))
+            for a in range(0, len(rows), some):
+                x = np.frombuffer(b"".join(rows[a : a + some]), np.uint8).reshape(-1, length)
+                np.add.at(self.sums, where[a : a + some], np.concatenate([self.model.label(x).sum(0), np.full((len(x), 1), length, np.float32)], 1))
         self.known.update(zip(new, range(at, at + len(new))))
 
     def pooled(self, texts: list[str]) -> np.ndarray:
@@ -209,26 +215,33 @@ def _labels_of(key: str, model: ByteGru) -> SegmentLabels:
 
 
 def training_rows(docs: DataFrame, skip: int = 2, of: int = 4) -> DataFrame:
-    """A bounded sample of labelled documents: for each language those with the least hashes, by shares."""
-    shares = 16
-    ids = docs.where("text IS NOT NULL AND lang IS NOT NULL AND doc_id IS NOT NULL").where(F.crc32(F.col("doc_id").cast("string")) % of != skip)
-    ids = ids.select("lang", "doc_id", F.xxhash64("doc_id").alias("h"), F.crc32(F.concat_ws(":", F.lit("share"), "doc_id")).alias("c"), "text")
-    many = Window.partitionBy("lang", F.col("c") % shares).orderBy("h", "doc_id")
-    picked = ids.select("lang", "doc_id", "h", "c").withColumn("r", F.row_number().over(many)).where(F.col("r") <= SAMPLE_DOCS // shares).select("doc_id", "lang")
-    part = F.substring("text", 1, SAMPLE_CHARS)
-    return docs.select("doc_id", part.alias("text")).join(F.broadcast(picked), "doc_id").select("doc_id", "lang", "text")  # LANGUAGES * SAMPLE_DOCS ids at most
+    """A bounded sample of labelled documents, SAMPLE_ROWS at most: for each language those with the least hashes.
+
+    Languages are counted first, so a share of each language's documents that is a little larger than needed can be told
+    by hash alone, and no more than that is shuffled and ordered.
+    """
+    labelled = docs.where("text IS NOT NULL AND lang IS NOT NULL AND doc_id IS NOT NULL").where(F.crc32(F.col("doc_id").cast("string")) % of != skip)
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("k")).orderBy(F.desc("k"), "lang").limit(SAMPLE_ROWS)
+    rows = counts.collect()  # a row for each language, SAMPLE_ROWS at most
+    each = max(1, min(SAMPLE_DOCS, SAMPLE_ROWS // max(1, len(rows))))
+    wanted = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, (each + 6 * each**0.5 + 10) / r["k"])) for r in rows], "lang string, share double")
+    h = F.xxhash64("doc_id")
+    near = labelled.join(F.broadcast(wanted), "lang").where(F.shiftrightunsigned(h, 11) < F.col("share") * float(1 << 53))
+    near = near.select("lang", "doc_id", h.alias("h"), F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+    first = Window.partitionBy("lang").orderBy("h", "doc_id", "text")
+    return near.withColumn("r", F.row_number().over(first)).where(F.col("r") <= each).select("doc_id", "lang", "text")
 
 
 def train(docs: DataFrame, skip: int = 2, of: int = 4) -> ByteGru:
     """Fit on the text and lang of documents whose crc32(doc_id) modulo `of` is not `skip`."""
-    rows = sorted({(r["lang"], r["doc_id"], r["text"]) for r in training_rows(docs, skip, of).collect()})
-    count: dict[str, int] = {}
-    for lang, _, _ in rows:
-        count[lang] = count.get(lang, 0) + 1
-    languages = sorted(sorted(count, key=lambda x: (-count[x], x))[:LANGUAGES])
+    rows = sorted({(r["lang"], r["doc_id"], r["text"]) for r in training_rows(docs, skip, of).collect()})  # SAMPLE_ROWS at most
+    by_lang: dict[str, list[str]] = {}
+    for lang, _, text in rows:
+        by_lang.setdefault(lang, []).append(text)
+    languages = sorted(by_lang)
     rng, found = np.random.default_rng(5), []
     for y, lang in enumerate(languages):
-        own = [x for at, _, text in rows if at == lang for s in segments(text) if has_letter(s) for x in framed(s)]
+        own = [x for text in by_lang[lang] for s in segments(text) if has_letter(s) for x in framed(s)]
         most = max(1, SAMPLE_SEGMENTS // len(languages))
         order = rng.permutation(len(own))[:most]
         found += [(own[i], y) for i in order]

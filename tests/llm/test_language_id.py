@@ -67,3 +67,49 @@ def test_edges(spark):
     nothing = L.train(spark.createDataFrame([], "doc_id bigint, text string, lang string"))
     assert {r["lang_pred"] for r in L.predict(docs, nothing).collect()} == {"und"}
     assert L.predict(spark.createDataFrame([], "doc_id bigint, text string"), model).collect() == []
+
+
+def plain_pass(model, raw):
+    """The network for one segment, a position and a unit at a time, from its equations alone."""
+    n, states = model.hidden, []
+    for d, order in (("forward", range(len(raw))), ("backward", range(len(raw) - 1, -1, -1))):
+        h, found = [0.0] * n, {}
+        for t in order:
+            wx, wh, b = (model.p[f"{d}.{k}"].astype(float) for k in "xhb")
+            fed = [wx[raw[t]][j] + b[j] for j in range(3 * n)]
+            rec = [sum(h[i] * wh[i][j] for i in range(n)) for j in range(3 * n)]
+            s = lambda v: 1 / (1 + np.exp(-v))
+            z = [s(fed[j] + rec[j]) for j in range(n)]
+            r = [s(fed[n + j] + rec[n + j]) for j in range(n)]
+            c = [np.tanh(fed[2 * n + j] + r[j] * rec[2 * n + j]) for j in range(n)]
+            h = [z[j] * h[j] + (1 - z[j]) * c[j] for j in range(n)]
+            found[t] = h
+        states.append(found)
+    out = []
+    for t in range(len(raw)):
+        logits = np.array(states[0][t] + states[1][t]) @ model.p["out"] + model.p["bias"]
+        out.append(np.exp(logits) / np.exp(logits).sum())
+    return np.array(out)
+
+
+def test_the_pass_against_its_equations():
+    model = L.ByteGru(["a", "b", "c"], hidden=5, seed=9)
+    raw = np.frombuffer(" straße 日 ".encode(), np.uint8)
+    assert np.allclose(model.label(raw[None])[:, 0], plain_pass(model, raw), atol=1e-5)
+
+
+def test_segments_are_cut_between_characters():
+    for text in ("日本語" * 40, "x" * 200, "é" * 49, "a" + "\U0001f600" * 30):
+        found = L.framed(text)
+        assert b"".join(f[1:-1] for f in found).decode() == text and all(f[1:-1].decode() and len(f) <= L.SEGMENT + 2 for f in found)
+
+
+def test_every_language_is_learned_and_the_sample_is_bounded(spark, monkeypatch):
+    names = [f"l{i:03}" for i in range(90)]
+    rows = [(i, f"{chr(97 + i % 9)}{chr(97 + i % 10)}{chr(97 + i % 11)} word", names[i % 90]) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    monkeypatch.setattr(L, "EPOCHS", 1)
+    assert L.train(docs).languages == names
+    monkeypatch.setattr(L, "SAMPLE_ROWS", 180)
+    held = L.training_rows(docs).collect()
+    assert len(held) <= 180 and {r["lang"] for r in held} == set(names)

@@ -12,7 +12,7 @@ def _least(edges: DataFrame) -> DataFrame:
     return edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
 
 
-def connected(links: DataFrame, most: int = 60) -> DataFrame:
+def connected(links: DataFrame, most: int = 200) -> DataFrame:
     """(a, b) links of longs -> (node, root): root is the least node of the component; nodes without links are absent.
 
     Every step replaces links by links to a neighbourhood's least node: no neighbourhood is gathered, and the
@@ -30,4 +30,6 @@ def connected(links: DataFrame, most: int = 60) -> DataFrame:
         if now == was:
             break
         was = now
+    else:
+        raise RuntimeError(f"links did not settle in {most} steps")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

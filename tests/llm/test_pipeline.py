@@ -38,3 +38,25 @@ def test_every_stage_on_its_own_input(spark, small, tmp_path):
 
 def test_run_gives_the_last_stage(spark, small):
     assert {"doc_id", "start", "length", "sequence_id", "offset"} <= set(P.run(spark, small).columns)
+
+
+def test_edges_of_every_stage(spark, tmp_path):
+    """Nulls, repeats, one doc_id for two texts, clashing columns and empty tables."""
+    near = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen"
+    item = "What is the tallest of all the hills that stand behind the old town? It is the green one."
+    rows = [
+        (1, near, "en"), (1, near, "en"), (2, near, "en"), (2, "something else that shares a number with a copy", None), (3, None, "en"), (4, "", None),
+        (None, near, "en"), (5, "write to a@b.cd about it", "en"), (6, f"so: {item} and so on", "en"), (7, "und die der nicht mit ein auch", "de"), (7, "und die der nicht mit ein auch", "de"),
+    ]
+    wide = "doc_id bigint, text string, lang string"
+    docs = spark.createDataFrame(rows, wide).selectExpr("*", "'s' AS source", "length(text) AS n_chars", "1 AS key", "'x' AS component_id", "0 AS score")
+    spark.createDataFrame([(1, item)], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    found = {name: [tuple(r)[:2] for r in stage(spark, docs, str(tmp_path)).collect()] for name, stage in P.STAGES[:-1]}
+    order = lambda x: sorted(x, key=str)
+    assert {(3, None), (4, "")}.isdisjoint(found["language ID"])
+    assert order(found["near-dedup"]) == order([(1, near), (2, rows[3][1]), (3, None), (4, ""), (None, near), (5, rows[7][1]), (6, rows[8][1]), (7, rows[9][1])])
+    assert order(found["decontamination"]) == order(r[:2] for r in rows if r[0] != 6)
+    assert order(found["PII"]) == order((d, "write to [EMAIL] about it" if d == 5 else t) for d, t, _ in rows)
+    assert sum(1 for r in P.pack_sequences(spark, docs, "").collect()) >= len(rows)
+    for _, stage in P.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).collect() == []

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +39,17 @@ def stored(df: DataFrame, label: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_HELD: dict[tuple[str, str], object] = {}
+
+
+def held(kind: str, key: str, make: Callable[[], object]) -> object:
+    """What a worker process keeps from task to task: one thing, so that what operators of one job keep doesn't add up."""
+    if (kind, key) not in _HELD:
+        _HELD.clear()
+        _HELD[kind, key] = make()
+    return _HELD[kind, key]
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -38,7 +38,7 @@ BLOCK_CHARS = 8_000_000
 #: Bits of the first look-up of a word in the index, and of the look-up of a word and an item.
 INDEX_BITS, MEMBER_BITS = 20, 22
 #: Words of stretches that are counted together.
-COUNT_WORDS = 2_000_000
+COUNT_WORDS = 400_000
 _CHUNKS = 16
 _HITS = "doc_id bigint, item_id bigint, cosine double, common bigint, item_words bigint, answer_found boolean, start_word bigint, retrieved boolean"
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from termforge.llm.common import table
+from termforge.llm.common import held, table
 from termforge.llm.tokens import gathered, small_batches
 
 #: Training takes at most this many labelled documents: at most SAMPLE_DOCS of a language, and as many of each language
@@ -28,8 +28,8 @@ SAMPLE_ROWS, SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_SEGMENTS = 16_384, 1024, 1200, 30
 SEGMENT, HIDDEN = 48, 12
 EPOCHS, BATCH, RATE = 6, 128, 0.01
 UNKNOWN = "und"
-#: A worker forgets segments beyond this many numbers about them, and labels so many positions' languages at once.
-MOST_CELLS, LABEL_CELLS = 8_000_000, 20_000_000
+#: A worker forgets segments beyond this many, or this many numbers about them, and labels so many positions' languages at once.
+MOST_SEGMENTS, MOST_CELLS, LABEL_CELLS = 400_000, 8_000_000, 20_000_000
 _ASCII = re.compile(r"[A-Za-z]")
 _GATES = ("forward", "backward")
 
@@ -170,7 +170,7 @@ class SegmentLabels:
 
     def learn(self, found: list[str]) -> None:
         new = list(set(found).difference(self.known))
-        if (len(self.known) + len(new)) * (self.width + 1) > MOST_CELLS:
+        if len(self.known) + len(new) > min(MOST_SEGMENTS, MOST_CELLS // (self.width + 1)):
             self.forget()
             new = list(set(found))
         at = len(self.known)
@@ -204,16 +204,6 @@ class SegmentLabels:
         return out[:, :-1] / np.maximum(out[:, -1:], 1)
 
 
-_KEPT: dict[str, SegmentLabels] = {}
-
-
-def _labels_of(key: str, model: ByteGru) -> SegmentLabels:
-    if key not in _KEPT:
-        _KEPT.clear()
-        _KEPT[key] = SegmentLabels(model)
-    return _KEPT[key]
-
-
 def training_rows(docs: DataFrame, skip: int = 2, of: int = 4) -> DataFrame:
     """A bounded sample of labelled documents, SAMPLE_ROWS at most: for each language those with the least hashes.
 
@@ -264,7 +254,7 @@ def predict(docs: DataFrame, model: ByteGru) -> DataFrame:
     shared = spark.sparkContext.broadcast(model)  # a few thousand numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labels = _labels_of(key, shared.value)
+        labels = held("segments", key, lambda: SegmentLabels(shared.value))
         names = shared.value.languages
         for b in batches:
             texts = b["text"].to_pylist()

@@ -402,7 +402,7 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     sketch = stored(sketches(docs, width, threshold), "sketch")
     named = sketch.where("node IS NOT NULL AND doc_id IS NOT NULL")
     nodes = stored(named.groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), F.first("brief").alias("brief")), "nodes")
-    bands = nodes.select(F.explode("keys").alias("key"), "node", "n").distinct()
+    bands = nodes.select(F.explode("keys").alias("key"), "node", "n")
     # Keys of one node only are left behind at once; only what remains carries registers and is compared.
     shared = stored(bands.groupBy("key").agg(F.count("*").alias("k")).where("k > 1"), "shared")
     large = stored(shared.where(F.col("k") > KEY_BLOCK).select("key", F.ceil(F.col("k") / KEY_BLOCK).alias("blocks")), "large")

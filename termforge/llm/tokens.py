@@ -10,11 +10,14 @@ import gc
 import os
 import re
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from itertools import chain
 
 import numpy as np
 from pyspark.sql import SparkSession
 
+from termforge.llm.common import held
+
 TOKENIZER = "word_bpe_49k.json"
 #: A worker forgets what it has encoded beyond this many pieces or characters, so its memory is bounded.
 MOST_PIECES, MOST_CHARS = 500_000, 10_000_000
@@ -148,6 +151,10 @@ class PieceEncoder:
 
     def encode(self, texts: list[str], sentences: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All ids in order; the number of ids of each text; where in the ids a sentence ends (lines count if asked for)."""
+        with uncollected():
+            return self._encoded(texts, sentences)
+
+    def _encoded(self, texts: list[str], sentences: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         line = " \n " if sentences else " "
         split = [t.replace("\n", line).split(" ") for t in texts]
         counts = np.fromiter(map(len, split), np.int64, len(split))
@@ -166,15 +173,21 @@ class PieceEncoder:
         return ids, lengths, after[self.ends[at]]
 
 
-_ENCODERS: dict[str, PieceEncoder] = {}
-
-
 def encoder_for(name: str) -> PieceEncoder:
     """One encoder for each tokenizer and worker process; later tasks of the process find its pieces known."""
-    if name not in _ENCODERS:
-        gc.disable()  # what an encoder keeps has no cycles, and searching it for some takes a fifth of the time
-        _ENCODERS[name] = PieceEncoder(name)
-    return _ENCODERS[name]
+    return held("pieces", name, lambda: PieceEncoder(name))
+
+
+@contextmanager
+def uncollected() -> Iterator[None]:
+    """Without the search for cycles, which what an encoder keeps has none of and which takes a fifth of the time."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
 
 
 def with_end(ids: np.ndarray, lengths: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:

@@ -23,7 +23,7 @@ def stopwords(words: DataFrame, added: list[str], clitics: list[str]) -> DataFra
 def lemmas(lines: DataFrame) -> DataFrame:
     """(line) of `inflected lemma ...` -> inflected, sorted distinct lemmas; only lines of a-z words; none is its own lemma."""
     rows = lines.select(F.split(F.lower(F.trim("line")), r"\s+").alias("f")).where("forall(f, x -> x rlike '^[a-z]+$')")
-    pairs = rows.select(F.col("f")[0].alias("inflected"), F.explode(F.slice("f", 2, 1000)).alias("lemma")).where("inflected <> lemma").distinct()
+    pairs = rows.select(F.col("f")[0].alias("inflected"), F.explode(F.expr("slice(f, 2, size(f))")).alias("lemma")).where("inflected <> lemma").distinct()
     return pairs.groupBy("inflected").agg(F.sort_array(F.collect_set("lemma")).alias("lemmas"))
 
 

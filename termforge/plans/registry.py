@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from termforge.config import Config
 from termforge.functions import text as X
 from termforge.operators import analysis, canonical, definition, gates, lexicon, shape, tokenize, topical
-from termforge.plans import extraction
+from termforge.plans import checks, extraction
 from termforge.resources import Resources, bundled, entries, lemma_entries
 
 FIXTURE, FREQUENT = 2000, 500
@@ -248,7 +248,7 @@ _NAMES = (
     "term_statistics term_scores ngram_candidates topical_scored topical_dedup prose_measures language_scores prose_verdict definitions keyword_union top_per_kind without_repeats "
     "status_tally results resolved_spans sweep_grid span_scoring frontier baselines"
 ).split()
-QUERIES = {n: globals()[n] for n in _NAMES}
+QUERIES = {n: globals()[n] for n in _NAMES} | checks.QUERIES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -390,4 +390,4 @@ FROM supplier, (VALUES ('GPI', 'General Parts Index'), ('General Parts Index', '
     "span_scoring": f"SELECT point, count(*) AS planted, sum((0.722 >= identifier)::BIGINT)::BIGINT AS found FROM supplier, (VALUES {', '.join(f'({a}::BIGINT, {b}, {c})' for a, b, c in GRID)}) g(point, identifier, technical) GROUP BY point",
     "frontier": "SELECT budget, arg_max(point, h) AS point, max(h) AS recall FROM (VALUES (0::BIGINT, 0.5::DOUBLE, 13.5::DOUBLE), (1, 0.21, 12.0), (2, 0.7, 40.0)) p(point, h, f), (VALUES (12.5::DOUBLE), (20.0), (100.0)) b(budget) WHERE f <= budget GROUP BY budget",
 }
-ORACLE_SQL = {k: _with() + v for k, v in _SQL.items()} | _SHORT
+ORACLE_SQL = {k: _with() + v for k, v in _SQL.items()} | _SHORT | checks.ORACLE_SQL

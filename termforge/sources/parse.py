@@ -14,10 +14,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_HEADERS = ("from:", "to:", "subject:", "date:", "received:", "return-path:", "message-id:", "mime-version:", "delivered-to:")
+from termforge.sources import pdf
+
+#: Header names that tell a mail, in alphabetical order.
+_HEADERS = ("date:", "delivered-to:", "from:", "message-id:", "mime-version:", "received:", "return-path:", "subject:", "to:")
 KIND = {"Pdf": "Pdf", "Docx": "WordProcessing", "Xlsx": "Spreadsheet", "Pptx": "Presentation", "Email": "Email"}
-#: A PDF reader, (bytes) -> (text, has a text layer), may be put here; without one PDF is UnsupportedFormat.
-PDF_READER: list[Callable[[bytes], tuple[str, bool]]] = []
+#: The PDF reader, (bytes) -> (text, has a text layer): the last one. Another one may be put here; with none PDF is UnsupportedFormat.
+PDF_READER: list[Callable[[bytes], tuple[str, bool]]] = [pdf.text_of]
 
 
 class Encrypted(Exception):
@@ -25,8 +28,11 @@ class Encrypted(Exception):
 
 
 def files(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """path and content of all files below path, or of several. Sorting is left to the output."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
+    """path and content of all files below path, or of several. Sorting is left to the output.
+
+    Files that vanish or can't be read are passed over; `unread` tells them. Names that start with `_` or `.` are not listed.
+    """
+    return spark.read.format("binaryFile").option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).option("recursiveFileLookup", True).load(path).select("path", "content")
 
 
 def unread(spark: SparkSession, path: str, read: DataFrame) -> DataFrame:
@@ -137,7 +143,7 @@ def parsed(content: bytes, hint: str | None = None, least_layer: int = 32) -> tu
         else:
             text = {"Docx": word, "Xlsx": sheets, "Pptx": slides, "Email": mail}.get(kind, plain)(content)
         return text, source, layer, None
-    except Encrypted:
+    except (Encrypted, pdf.Locked):
         return None, source, None, "Encrypted"
     except Exception as e:  # any malformed file is a result, not a failure of the run
         return None, source, None, f"{kind}: {type(e).__name__}: {e}"[:300]

@@ -32,9 +32,9 @@ def run(spark, *argv):
 def test_json_lines_and_tally(spark, folder):
     code, out, err = run(spark, "extract", folder)
     rows = [json.loads(x) for x in out.splitlines()]
-    assert code == 0 and [r["status"] for r in rows] == ["Ok", "TooShort", "UnsupportedFormat"]
+    assert code == 0 and [r["status"] for r in rows] == ["Ok", "TooShort", "NoTextLayer"]
     assert "ds-2291" in [k["normalised"] for k in rows[0]["keywords"]] and len(rows[0]["hash_exact"]) == 64
-    assert "3 documents: 1 Ok, 1 TooShort, 1 UnsupportedFormat" in err and "stamp:" in err
+    assert "3 documents: 1 Ok, 1 TooShort, 1 NoTextLayer" in err and "stamp:" in err
 
 
 def test_csv_keeps_documents_without_keywords(spark, folder):
@@ -89,7 +89,7 @@ def test_stream_gives_the_rows_of_a_batch(spark, folder, tmp_path):
     micro.extract_stream(micro.file_stream(spark, str(folder)), str(tmp_path / "out"), str(tmp_path / "check"), Config(), resources, prepare=micro.from_files).awaitTermination()
     rows = spark.read.parquet(str(tmp_path / "out")).collect()
     assert len(rows) == 4 and len({r["doc_id"] for r in rows}) == 4 and {r["batch"] for r in rows} == {0, 1}
-    assert sorted(r["status"] for r in rows) == ["Ok", "Ok", "TooShort", "UnsupportedFormat"]
+    assert sorted(r["status"] for r in rows) == ["NoTextLayer", "Ok", "Ok", "TooShort"]
 
 
 def test_planted_terms_are_found(spark):

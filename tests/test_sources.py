@@ -42,6 +42,8 @@ def test_formats():
 
 
 def test_pdf_by_a_reader(monkeypatch):
+    assert parse.parsed(b"%PDF-1") == ("", "Pdf", False, None)
+    monkeypatch.setattr(parse, "PDF_READER", [])
     assert parse.parsed(b"%PDF-1") == (None, "Pdf", None, "UnsupportedFormat")
     monkeypatch.setattr(parse, "PDF_READER", [lambda content: ("few", True)])
     assert parse.parsed(b"%PDF-1") == ("few", "Pdf", False, None)

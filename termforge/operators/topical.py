@@ -15,13 +15,18 @@ def _clause() -> WindowSpec:
     return Window.partitionBy("doc_id", "clause").orderBy("at")
 
 
+def _distinct(column: str) -> F.Column:
+    """A distinct count that needs no shuffle of its own: a document's rows are in one place already."""
+    return F.size(F.collect_set(column)).cast("long")
+
+
 def term_statistics(tokens: DataFrame) -> DataFrame:
     """doc_id, lower, tf, uppercase, acronym, n_clauses, median_clause, n_left, n_right of countable terms; neighbours may be any token of the clause."""
     rows = tokens.where("clause IS NOT NULL").withColumns({"before": F.lag("lower").over(_clause()), "after": F.lead("lower").over(_clause())}).where(COUNTABLE)
     upper, acronym = F.expr(f"token rlike '^{X.UPPER}' AND at > 0"), F.expr(f"length(token) > 1 AND NOT token rlike '{X.LOWER}'")
     return rows.groupBy("doc_id", "lower").agg(
-        F.count("*").alias("tf"), F.sum(upper.cast("long")).alias("uppercase"), F.sum(acronym.cast("long")).alias("acronym"), F.count_distinct("clause").alias("n_clauses"),
-        F.median("clause").alias("median_clause"), F.count_distinct("before").alias("n_left"), F.count_distinct("after").alias("n_right"),
+        F.count("*").alias("tf"), F.sum(upper.cast("long")).alias("uppercase"), F.sum(acronym.cast("long")).alias("acronym"), _distinct("clause").alias("n_clauses"),
+        F.median("clause").alias("median_clause"), _distinct("before").alias("n_left"), _distinct("after").alias("n_right"),
     )
 
 

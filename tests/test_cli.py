@@ -34,7 +34,7 @@ def test_json_lines_and_tally(spark, folder):
     rows = [json.loads(x) for x in out.splitlines()]
     assert code == 0 and [r["status"] for r in rows] == ["Ok", "TooShort", "NoTextLayer"]
     assert "ds-2291" in [k["normalised"] for k in rows[0]["keywords"]] and len(rows[0]["hash_exact"]) == 64
-    assert "3 documents: 1 Ok, 1 TooShort, 1 NoTextLayer" in err and "stamp:" in err
+    assert "3 documents: 1 NoTextLayer, 1 Ok, 1 TooShort" in err and "stamp:" in err
 
 
 def test_csv_keeps_documents_without_keywords(spark, folder):

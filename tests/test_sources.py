@@ -79,3 +79,19 @@ def test_tables_of_terms(spark, tmp_path):
     (tmp_path / "z.tsv").write_text("two\tfields\n")
     with pytest.raises(Exception, match="three columns"):
         parse.tsv(spark, str(tmp_path)).collect()
+
+
+def test_pdf_text():
+    import zlib
+
+    page = b"BT /F1 9 Tf (Stock of \\(new\\) tins) Tj 0 -12 Td [(two) -300 (words) 20 (!)] TJ T* <C974E9> Tj ET"
+    file = lambda head, data: b"%PDF-1.5\n4 0 obj <<" + head + b">> stream\n" + data + b"\nendstream endobj trailer <</Root 1 0 R>>"
+    want = "Stock of (new) tins\ntwo words!\nÉté\n"
+    assert parse.parsed(file(b"/Length 9", page), least_layer=5) == (want, "Pdf", True, None)
+    assert parse.parsed(file(b"/Filter /FlateDecode /Length 9", zlib.compress(page)), least_layer=5) == (want, "Pdf", True, None)
+    wide = b"beginbfchar <0001> <0041> endbfchar beginbfrange <0002> <0004> <0062> endbfrange"
+    both = file(b"/Length 9", wide) + file(b"/Length 9", b"BT <00010002 0004> Tj ET")
+    assert parse.parsed(both, least_layer=1)[0] == "Abd\n"
+    assert parse.parsed(file(b"/Length 9", b"0 0 10 10 re f"))[1:] == ("Pdf", False, None)
+    assert parse.parsed(b"%PDF-1.5 trailer <</Encrypt 5 0 R>>")[3] == "Encrypted"
+    assert parse.parsed(b"%PDF-1.5" + bytes(range(256)) * 40)[1] == "Pdf"

@@ -12,14 +12,14 @@ costs a fixed number of steps, whatever the length of the text; no array is rebu
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from termforge.llm.common import documents, partitions, stored, table
+from termforge.llm.common import documents, partitions, table
 
 K, W = 4, 8
 _SOLID = r"\\u3040-\\u30ff\\u3400-\\u9fff\\uac00-\\ud7af"
-_TOKEN = rf"[{_SOLID}]|[^\\s{_SOLID}]{{1,32}}"
+_LONGEST = 32
 _LAST = (1 << 32) - 1
 
 
@@ -35,6 +35,17 @@ def _rotated(value: str, by: int) -> str:
     return f"(shiftleft({value}, {by}) | shiftrightunsigned({value}, {64 - by}))"
 
 
+def tokens_sql(column: str) -> str:
+    """SQL for the array of tokens. Texts are split at spaces; only what needs a pattern (characters of scripts without
+    spaces, runs that are too long) is given to one."""
+    spaced = f"lower({column})"
+    for c in (9, 10, 11, 12, 13):
+        spaced = f"replace({spaced}, chr({c}), ' ')"
+    apart = _let(spaced, "t", f"CASE WHEN octet_length(t) = length(t) THEN t ELSE regexp_replace(t, '([{_SOLID}])', ' $1 ') END")
+    cut = f"transform(u, w -> CASE WHEN length(w) > {_LONGEST} THEN regexp_extract_all(w, '(?s).{{1,{_LONGEST}}}', 0) ELSE array(w) END)"
+    return _let(f"filter(split({apart}, ' '), w -> w <> '')", "u", f"CASE WHEN exists(u, w -> length(w) > {_LONGEST}) THEN flatten({cut}) ELSE u END")
+
+
 def winnowed_sql(column: str) -> str:
     """SQL for an array of longs: 31 hash bits, then 32 bits of (2^32 - 1 - position), by position.
 
@@ -42,7 +53,7 @@ def winnowed_sql(column: str) -> str:
     fewer than K tokens has one hash over what there is; a text without tokens has none.
     """
     grams = _let(
-        f"transform(regexp_extract_all(lower({column}), '{_TOKEN}', 0), w -> xxhash64(w))",
+        f"transform({tokens_sql(column)}, w -> xxhash64(w))",
         "h",
         _let(_paired("h", 1, f"{_rotated('a', 1)} ^ coalesce(b, 0L)"), "g", f"slice({_paired('g', 2, f'{_rotated("a", 2)} ^ coalesce(b, 0L)')}, 1, greatest(size(h) - {K - 1}, least(size(h), 1)))"),
     )
@@ -70,24 +81,38 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return documents(docs).selectExpr("doc_id", f"{winnowed_sql('text')} AS fingerprint")
 
 
-def successors(ids: DataFrame) -> DataFrame:
-    """(doc_id, n_chars) -> doc_id, to_id, to_chars: the document next above, and for the last the first.
+def _ranges(ids: DataFrame) -> tuple[Column, DataFrame]:
+    """For a table with doc_id: the number of a row's id range; and (doc_id, to) of the last document of each range,
+    which the first one above it needs: `to` is the range with rows that comes next, and after the last the first.
+    """
+    n = partitions(ids.sparkSession)
+    shares = F.array(*(F.lit(i / n) for i in range(1, n))) if n > 1 else F.array(F.lit(1.0))
+    found = ids.agg(F.percentile_approx("doc_id", shares, max(10_000, 20 * n)).alias("bounds")).first()["bounds"] or []
+    bounds = F.array(*(F.lit(x).cast("long") for x in sorted(set(found))))  # any bounds are right; these share the rows alike
+    part = F.size(F.filter(bounds, lambda x: x < F.col("doc_id")))
+    lasts = sorted(ids.groupBy(part.alias("part")).agg(F.max("doc_id").alias("doc_id")).collect())  # a row a range
+    to = [(r["doc_id"], lasts[(i + 1) % len(lasts)]["part"]) for i, r in enumerate(lasts)]
+    return part, ids.sparkSession.createDataFrame(to, "doc_id bigint, to int")
+
 
-    Ids are dealt out by range, linked within each range, and only one row a range is linked across.
+def with_next(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) -> doc_id, text, own (see winnowed_sql), and next_text, next_own of the document next below; after the lowest, the highest.
+
+    Rows are dealt once, by id range, and the next document is the row before in a range. The last document of each range
+    goes to the range above it as well, as its first row. So every text is moved and fingerprinted once.
     """
-    spark = ids.sparkSession
-    within = Window.partitionBy("part").orderBy("doc_id")
-    ranged = stored(
-        ids.repartitionByRange(partitions(spark), "doc_id")
-        .withColumn("part", F.spark_partition_id())
-        .withColumns({"to_id": F.lead("doc_id").over(within), "to_chars": F.lead("n_chars").over(within)}),
-        "successors",
-    )
-    firsts = ranged.groupBy("part").agg(F.min(F.struct("doc_id", "n_chars")).alias("first"))
-    every = Window.orderBy("part")  # one row for each range
-    firsts = firsts.select("part", F.coalesce(F.lead("first").over(every), F.first("first").over(every)).alias("next_first"))
-    return ranged.join(F.broadcast(firsts), "part", "left").select(
-        "doc_id", F.coalesce("to_id", "next_first.doc_id").alias("to_id"), F.when(F.col("to_id").isNotNull(), F.col("to_chars")).otherwise(F.col("next_first.n_chars")).alias("to_chars")
+    docs = documents(docs).where("doc_id IS NOT NULL")
+    part, lasts = _ranges(docs.select("doc_id"))
+    dealt = docs.join(F.broadcast(lasts), "doc_id", "left")
+    here, above = F.struct(part.alias("part"), F.lit(1).alias("place")), F.struct(F.col("to").alias("part"), F.lit(0).alias("place"))
+    dealt = dealt.select("doc_id", "text", F.inline(F.when(F.col("to").isNull(), F.array(here)).otherwise(F.array(here, above))))
+    whole = dealt.repartitionById(partitions(docs.sparkSession), "part").groupBy("part", "place", "doc_id").agg(F.min("text").alias("text"))
+    before = Window.partitionBy("part").orderBy("place", "doc_id")
+    return (
+        whole.withColumn("own", F.expr(winnowed_sql("text")))
+        .withColumns({"next_text": F.lag("text").over(before), "next_own": F.lag("own").over(before)})
+        .where("place = 1")
+        .select("doc_id", "text", "own", "next_text", "next_own")
     )
 
 
@@ -98,13 +123,10 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     with one doc_id count as one document, with the least of their texts; rows without doc_id have no
     place in the order and are left out. Null text is empty. Two empty fingerprints have likeness 1.
     """
-    whole = documents(docs).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("text").alias("text"))
-    links = successors(whole.select("doc_id", F.length("text").cast("long").alias("n_chars")))
-    sent = whole.join(links, "doc_id").selectExpr("to_id AS doc_id", "left(text, cast(to_chars div 2 AS int)) AS head", f"{hashes_sql(winnowed_sql('text'))} AS next_hashes")
     return (
-        whole.join(sent, "doc_id")
-        .selectExpr("doc_id", "text", "length(text) AS n", "head", "next_hashes")
-        .selectExpr("doc_id", "n", f"concat(left(text, n - n div 2), head) AS edited", f"{winnowed_sql('text')} AS own", "next_hashes")
+        with_next(docs)
+        .selectExpr("doc_id", "length(text) AS n", "text", "own", "next_text", "next_own")
+        .selectExpr("doc_id", "n", "concat(left(text, n - n div 2), left(next_text, n div 2)) AS edited", "own", f"{hashes_sql('next_own')} AS next_hashes")
         .selectExpr("doc_id", "n", "sha2(cast(edited AS binary), 256) AS edited_sha256", "own", f"{winnowed_sql('edited')} AS other", "next_hashes")
         .selectExpr("*", f"{hashes_sql('own')} AS own_hashes", f"{hashes_sql('other')} AS other_hashes")
         .selectExpr(

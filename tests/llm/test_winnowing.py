@@ -87,3 +87,27 @@ def test_match_guarantee(spark):
 
 def test_empty_table(spark):
     assert winnowing.compare_with_next(spark.createDataFrame([], "doc_id bigint, text string")).collect() == []
+
+
+def test_tokens_of_all_kinds_of_runs(spark):
+    solid = "日本語テキスト한글"
+    texts = ["\t\n\x0b\f\r a b c d\u0085e ", "x" * 32, "x" * 33, "é" * 65 + "日" + "\U0001f600" * 40, f"a{solid}b{solid * 9} {'y' * 100}\t{solid}", "İ" * 40, " ", "", "$1 \\ $0", "a  b"]
+    found = spark.createDataFrame(list(enumerate(texts)), "i int, text string").selectExpr("i", f"{winnowing.tokens_sql('text')} AS t").collect()
+    lowered = lambda text: text.replace("İ", "i̇").lower()
+    assert {r["i"]: r["t"] for r in found} == {i: TOKEN.findall(lowered(t)) for i, t in enumerate(texts)}
+
+
+def test_texts_are_dealt_and_fingerprinted_once(spark, small):
+    found = winnowing.op7_winnowing(spark, small)
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    executed = found._jdf.queryExecution().executedPlan().toString()
+    assert executed.count("Exchange shufflepartitionidpassthrough") == 1 and executed.count("Exchange hashpartitioning") == 0
+    assert plan.count("FileScan") == 1 and plan.count("split(") == 2  # one for the text, one for the edited text
+
+
+def test_next_documents_across_ranges(spark):
+    rows = [(doc, f"text {doc} " + "w " * (abs(doc) % 13)) for doc in [-(1 << 63), -5, 0, 1, 2, 3, 1000, 1001, (1 << 63) - 1]]
+    for n in (1, 2, 9):
+        docs = spark.createDataFrame(rows * 2, "doc_id bigint, text string").repartition(n)
+        compare(winnowing.compare_with_next(docs), rows)
+    compare(winnowing.compare_with_next(spark.createDataFrame(rows[:1], "doc_id bigint, text string")), rows[:1])

@@ -3,7 +3,8 @@ import random
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from termforge.llm import near_dedup
+from termforge.llm import components, near_dedup
+from termforge.llm.common import stored
 from termforge.llm.components import connected
 
 
@@ -115,6 +116,23 @@ def test_components_of_a_long_chain(spark):
     assert found == {n: min(names[:151] if i <= 150 else names[151:]) for i, n in enumerate(names)}
 
 
+@pytest.mark.parametrize("most, tables", [(0, 3), (1000, 1)])
+def test_components_of_few_links_take_no_steps(spark, monkeypatch, most, tables):
+    """Steps and the driver give the same; with few links only the links are written."""
+    r, written = random.Random(3), []
+    links = [(r.choice((-1, 1)) * r.randrange(600), r.randrange(600)) for _ in range(400)]
+    least = {x: x for pair in links for x in pair}
+    for _ in least:
+        for a, b in links:
+            least[a] = least[b] = min(least[a], least[b])
+    monkeypatch.setattr(components, "MOST_LOCAL", most)
+    monkeypatch.setattr(components, "stored", lambda df, label: written.append(label) or stored(df, label))
+    found = connected(spark.createDataFrame(links, "a bigint, b bigint")).collect()
+    alone = {a for a, b in links if a == b} - {x for a, b in links if a != b for x in (a, b)}
+    assert {x["node"]: x["root"] for x in found} == {n: m for n, m in least.items() if n not in alone} and len(found) == len(least) - len(alone)
+    assert len(written) >= tables and (most == 0 or len(written) == 1)
+
+
 def test_registers_estimate():
     """Share of equal registers, corrected for accidents, is near the similarity."""
     import numpy as np

@@ -99,7 +99,8 @@ def rank_ids(ids: DataFrame, size: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["id", "n"])
 
     counts = np.zeros(size, np.int64)
-    for row in ids.select("counts").where("counts IS NOT NULL").mapInArrow(count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect():  # a row an id at most
+    tables = ids.select("counts").where("counts IS NOT NULL").coalesce(ids.sparkSession.sparkContext.defaultParallelism)  # a row a part
+    for row in tables.mapInArrow(count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect():  # a row an id at most
         counts[row["id"]] = row["n"]
     ranks = np.empty(size, np.int64)
     ranks[np.lexsort((np.arange(size), -counts))] = np.arange(size)

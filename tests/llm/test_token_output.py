@@ -74,3 +74,20 @@ def test_empty_table(spark, tmp_path):
 def test_sizes_around_a_control_byte(n):
     ranks = np.arange(n) * 70_000
     assert token_output.decode_ranks(*token_output.encode_ranks(ranks), n).tolist() == ranks.tolist()
+
+
+def test_words_outlive_forgotten_pieces(monkeypatch):
+    """What is forgotten is only looked up again, the ids stay those of the tokenizer, and an encoder keeps no lists."""
+    monkeypatch.setattr(tokens, "MOST_PIECES", 3)
+    encoder, asked = tokens.PieceEncoder(), []
+    model = encoder.model
+    encoder.model = type("Model", (), {"tokenize": lambda self, word: asked.append(word) or model.tokenize(word)})()
+    texts = ["Alpha beta, gamma!", "alpha Beta gamma? é1", "(Gamma) \u00e9t\u00e9. beta", "ALPHA, \U0001f600 beta"]
+    for _ in range(3):
+        for text in texts:
+            assert encoder.encode([text], sentences=False)[0].tolist() == ids_of(text)
+    assert len(asked) == len(set(asked)) and "alpha" in asked
+    assert all(type(x) is bytes for kept in (encoder.words, encoder.marks) for x in kept.values())
+    monkeypatch.setattr(tokens, "MOST_WORDS", 2)
+    assert encoder.encode(["delta epsilon zeta eta"], sentences=False)[0].tolist() == ids_of("delta epsilon zeta eta")
+    assert encoder.encode(["theta"], sentences=False)[0].tolist() == ids_of("theta") and list(encoder.words) == ["theta"]

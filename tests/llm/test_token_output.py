@@ -91,3 +91,21 @@ def test_words_outlive_forgotten_pieces(monkeypatch):
     monkeypatch.setattr(tokens, "MOST_WORDS", 2)
     assert encoder.encode(["delta epsilon zeta eta"], sentences=False)[0].tolist() == ids_of("delta epsilon zeta eta")
     assert encoder.encode(["theta"], sentences=False)[0].tolist() == ids_of("theta") and list(encoder.words) == ["theta"]
+
+
+def test_common_pieces_are_encoded_once_and_ids_stay_right_at_the_limits(monkeypatch):
+    """Pieces beyond the limit are forgotten, but not those that came again; ids are those of the whole tokenizer."""
+    from termforge.llm import tokens
+
+    monkeypatch.setattr(tokens, "MOST_PIECES", 60)
+    monkeypatch.setattr(tokens, "MOST_WORDS", 40)
+    encoder, given = tokens.PieceEncoder(), []
+    ids = encoder._ids
+    monkeypatch.setattr(encoder, "_ids", lambda pieces: given.extend(pieces) or ids(pieces))
+    for n in range(12):
+        texts = [f"common Common, again? É{n} " + " ".join(f"rare{chr(97 + n)}{chr(97 + i)}" for i in range(25)), "common again? \n common Common,"]
+        found, lengths, _ = encoder.encode(texts, sentences=False)
+        want = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        assert found.tolist() == sum(want, []) and lengths.tolist() == list(map(len, want))
+    assert given.count("common") == given.count("Common,") == given.count("again?") == 1
+    assert len(encoder.known) <= 60 + 60

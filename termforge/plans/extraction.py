@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from termforge.config import Config
-from termforge.operators import canonical, definition, gates, lexicon, shape, tokenize, topical
+from termforge.operators import canonical, gates, inplace
+from termforge.operators.vocabulary import Lists
 from termforge.resources import Resources
 
 KINDS = {"Identifier": 0, "Technical": 1, "Topical": 2}
@@ -44,31 +45,61 @@ def without_repeats(keywords: DataFrame) -> DataFrame:
 
 @dataclass
 class Extraction:
-    """The frames of one run; each is lazy."""
+    """The frames of one run; each is lazy, and none needs another's rows."""
 
     documents: DataFrame
-    pieces: DataFrame
-    tokens: DataFrame
-    clauses: DataFrame
-    candidates: DataFrame
-    verdicts: DataFrame
-    keywords: DataFrame
     config: Config
     resources: Resources
+    lists: Lists
+
+    @cached_property
+    def alive(self) -> DataFrame:
+        return self.documents.where("status = 'Ok'")
+
+    @property
+    def pieces(self) -> DataFrame:
+        return inplace.pieces(self.alive)
+
+    @property
+    def tokens(self) -> DataFrame:
+        return inplace.tokens(self.alive, self.lists)
+
+    @property
+    def clauses(self) -> DataFrame:
+        return inplace.clauses(self.alive)
+
+    @property
+    def candidates(self) -> DataFrame:
+        return inplace.candidates(self.alive, self.lists, self.config)
+
+    @cached_property
+    def verdicts(self) -> DataFrame:
+        rows = self.alive.select("doc_id", "canonical", (F.col("source") == "Spreadsheet").alias("tabular"))
+        return gates.verdict(inplace.measures(rows, self.lists), self.config)
+
+    def whole(self, *kept: str) -> DataFrame:
+        """One row a document: doc_id, the columns to be kept, prose measures, and keywords with whether they repeat one."""
+        return inplace.extracted(self.documents, self.lists, self.config, list(kept))
+
+    @cached_property
+    def keywords(self) -> DataFrame:
+        return self.whole().selectExpr("doc_id", "inline(keywords)").drop("repeated")
+
+    @cached_property
+    def unrepeated(self) -> DataFrame:
+        """As `without_repeats` of the keywords, from rows of whole documents."""
+        return self.whole().selectExpr("doc_id", "inline(keywords)").where("NOT repeated").drop("repeated")
 
     def results(self) -> DataFrame:
         """One row a document: status, stamp, digests, length, language, verdict, keywords (ranked, by kind)."""
         columns = ["kind", "rank", "original_keyword", "normalised", "origin", "score", "frequency", "offsets", "expansion"]
-        order = [ordinal("kind", KINDS).alias("k"), F.col("rank").alias("r")]
-        lists = self.keywords.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(*order, F.struct(*columns).alias("keyword")))).alias("sorted"))
-        lists = lists.select("doc_id", F.transform("sorted", lambda x: x["keyword"]).alias("keywords"))
-        verdicts = self.verdicts.select("doc_id", F.struct("is_prose", "reason", "mean_sentence_len", "stopword_ratio", "table_line_ratio", "tokens").alias("prose"))
-        docs = self.documents.join(verdicts, "doc_id", "left").join(lists, "doc_id", "left")
-        ok, none = F.col("status") == "Ok", F.array().cast(lists.schema["keywords"].dataType)
+        docs = self.whole("status", "message", "hash_exact", "hash_canonical", "own_content_length", "source")
+        docs = gates.verdict(docs.withColumn("tabular", F.col("source") == "Spreadsheet"), self.config)
+        ok = F.col("status") == "Ok"
         return docs.select(
             "doc_id", "status", "message", F.lit(self.config.stamp(self.resources.digests)).alias("version"), "hash_exact", "hash_canonical", "own_content_length",
-            F.when(ok & F.col("language").isNotNull(), F.struct(F.col("language").alias("code"), "fully_supported")).alias("language"), "confidence", F.when(ok, F.col("prose")).alias("prose"),
-            F.when(ok, F.coalesce("keywords", none)).otherwise(none).alias("keywords"),
+            F.when(ok & F.col("language").isNotNull(), F.struct(F.col("language").alias("code"), "fully_supported")).alias("language"), "confidence",
+            F.when(ok, F.struct("is_prose", "reason", "mean_sentence_len", "stopword_ratio", "table_line_ratio", "tokens")).alias("prose"), F.transform("keywords", lambda k: F.struct(*(k[c].alias(c) for c in columns))).alias("keywords"),
         )
 
 
@@ -96,25 +127,7 @@ def sourced(docs: DataFrame) -> DataFrame:
 
 def extract(docs: DataFrame, config: Config, resources: Resources) -> Extraction:
     """docs: doc_id, text, source, text_layer, error, hash_exact (from termforge.sources, or `sourced`)."""
-    docs = gated(docs, config)
-    alive = docs.where("status = 'Ok'")
-    pieces, tokens = tokenize.tokenised(alive)
-    # Shape, prose and topical operators read the tokens; they are cut up once and stay where their document is.
-    tokens = lexicon.with_lexicon(tokens, resources).persist(StorageLevel.DISK_ONLY)
-    clauses = tokenize.clauses(pieces)
-    candidates = shape.candidates(tokens, config)
-    measures = gates.prose_measures(alive, tokens, clauses).join(alive.select("doc_id", "language", (F.col("source") == "Spreadsheet").alias("tabular")), "doc_id")
-    verdicts = gates.verdict(measures, config)
-    keywords = shape.keywords(candidates, config)
-    if config.enable_definitions:
-        keywords = keywords.unionByName(definition.definitions(clauses, resources))
-    if config.enable_topical:
-        prose = verdicts.where("is_prose").select("doc_id")
-        counted = tokens.join(prose, "doc_id", "left_semi")
-        totals = pieces.where("kept").groupBy("doc_id").agg(F.count_distinct("clause").alias("total"))
-        scores = topical.term_scores(topical.term_statistics(counted), totals)
-        keywords = keywords.unionByName(topical.keywords(topical.deduplicated(topical.phrases(counted, scores, config), config)))
-    return Extraction(docs, pieces, tokens, clauses, candidates, verdicts, ranked(keywords), config, resources)
+    return Extraction(gated(docs, config), config, resources, Lists.of(resources))
 
 
 def canonical_texts(docs: DataFrame, config: Config = Config()) -> DataFrame:
@@ -126,3 +139,11 @@ def resolved(keywords: DataFrame, texts: DataFrame) -> DataFrame:
     """keywords by span, with the bytes of the canonical text there."""
     spans = keywords.select("doc_id", "kind", "normalised", "original_keyword", F.explode("offsets").alias("span"))
     return spans.join(texts, "doc_id").selectExpr("doc_id", "kind", "normalised", "original_keyword", "span.start AS start", "span.end AS end", "cast(substring(cast(canonical AS binary), cast(span.start + 1 AS int), cast(span.end - span.start AS int)) AS string) AS found")
+
+
+def resolved_in_place(x: Extraction, kind: str) -> DataFrame:
+    """As `resolved` of the keywords of a kind and their texts, from rows that hold both: no document is moved."""
+    found = "cast(substring(cast(canonical AS binary), cast(o.start + 1 AS int), cast(o.end - o.start AS int)) AS string)"
+    span = f"named_struct('kind', k.kind, 'normalised', k.normalised, 'original_keyword', k.original_keyword, 'start', o.start, 'end', o.end, 'found', {found})"
+    rows = x.whole("canonical").selectExpr("doc_id", f"flatten(transform(filter(keywords, k -> k.kind = '{kind}'), k -> transform(k.offsets, o -> {span}))) AS spans")
+    return rows.selectExpr("doc_id", "inline(spans)")

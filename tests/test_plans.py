@@ -8,6 +8,7 @@ IN_PLACE = [
     "ngram_candidates",
     "topical_dedup",
     "topical_scored",
+    "keyword_union",
 ]
 
 

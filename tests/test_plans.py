@@ -9,6 +9,7 @@ IN_PLACE = [
     "topical_dedup",
     "topical_scored",
     "keyword_union",
+    "results",
 ]
 
 

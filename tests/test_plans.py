@@ -10,6 +10,7 @@ IN_PLACE = [
     "topical_scored",
     "keyword_union",
     "results",
+    "top_per_kind",
 ]
 
 

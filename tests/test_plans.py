@@ -30,3 +30,8 @@ def plan_of(df):
 @pytest.mark.parametrize("name", IN_PLACE)
 def test_no_token_is_sorted(spark, small, name):
     assert "Window" not in plan_of(registry.QUERIES[name](spark, small))
+
+
+def test_files_are_dealt_out(spark, small):
+    """One small file of parts makes work for all cores."""
+    assert registry.QUERIES["parsed_files"](spark, small).rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism

@@ -5,19 +5,29 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from termforge.config import Config
 from termforge.functions import text as X
+from termforge.functions.arrow import slices
 
+#: Characters beyond ASCII that NFKC leaves as they are wherever they stand, most of the Latin ones; texts without others don't go to Python.
+STABLE = "".join(chr(c) for low, high in ("¡§", "©©", "«®", "°±", "¶·", "»»", "¿ı", "Ĵľ", "Łň", "Ŋž", "–—", "‘‘", "’’", "“”", "€€") for c in range(ord(low), ord(high) + 1))
 
-@F.pandas_udf(StringType())
-def nfkc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for s in batches:
-        yield s.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
+
+@F.arrow_udf(StringType())
+def normalised(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for b in batches:
+        yield pa.concat_arrays([pa.array([None if t is None else unicodedata.normalize("NFKC", t) for t in s.to_pylist()], pa.string()) for s in slices(b)] or [b])
+
+
+def nfkc(column: str) -> Column:
+    text = F.col(column)
+    left = F.translate(text, STABLE, "")
+    return F.coalesce(normalised(F.when(F.octet_length(left) > F.length(left), text)), text)
 
 
 def unquoted(lines: Column) -> Column:

@@ -23,6 +23,7 @@ IN_PLACE = [
     "resolved_spans",
     "prose_verdict",
     "prose_measures",
+    "sweep_grid",
 ]
 
 
@@ -38,3 +39,24 @@ def test_no_token_is_sorted(spark, small, name):
 def test_files_are_dealt_out(spark, small):
     """One small file of parts makes work for all cores."""
     assert registry.QUERIES["parsed_files"](spark, small).rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
+
+
+def test_texts_that_stay_do_not_go_to_python(spark):
+    """The text of a stable row is null where Python reads it."""
+    from termforge.operators import canonical
+
+    plan = plan_of(canonical.canonicalise(spark.createDataFrame([(1, "é")], "doc_id bigint, text string")))
+    assert "octet_length(translate" in plan and "ArrowEvalPython" in plan
+
+
+def test_stable_characters_are_stable(spark):
+    """Texts that don't reach Python are those that NFKC doesn't change, whatever stands beside what."""
+    import unicodedata
+
+    from termforge.operators import canonical
+
+    every = [*map(chr, range(128)), *canonical.STABLE]
+    assert all(unicodedata.normalize("NFKC", a + c) == a + c and not unicodedata.combining(c) for a in (*"aA1 ", *canonical.STABLE) for c in every)
+    texts = ["plain", "é “x” – €", "ﬁ", "e\u0301", "x²", None, "Ａ" * 300_000]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", canonical.nfkc("t").alias("t")).orderBy("i").collect()
+    assert [r["t"] for r in rows] == [t and unicodedata.normalize("NFKC", t) for t in texts]

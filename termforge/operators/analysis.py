@@ -27,11 +27,17 @@ def components(candidates: DataFrame, config: Config = Config()) -> DataFrame:
 
 def jaccard(a: DataFrame, b: DataFrame) -> DataFrame:
     """doc_id, similarity of the token sets of two token tables; 0 where neither has tokens."""
-    sets = lambda t, name: t.groupBy("doc_id").agg(F.collect_set("lower").alias(name))
-    both = sets(a, "a").join(sets(b, "b"), "doc_id", "full")
+    sets = lambda t: t.groupBy("doc_id").agg(F.collect_set("lower").alias("tokens"))
+    return jaccard_of_sets(sets(a), sets(b))
+
+
+def jaccard_of_sets(a: DataFrame, b: DataFrame) -> DataFrame:
+    """As `jaccard`, of tables with a row (doc_id, tokens) a document, whose tokens are distinct."""
+    both = a.select("doc_id", F.col("tokens").alias("a")).join(b.select("doc_id", F.col("tokens").alias("b")), "doc_id", "full")
     none = F.array().cast("array<string>")
     both = both.select("doc_id", F.coalesce("a", none).alias("a"), F.coalesce("b", none).alias("b"))
-    return both.select("doc_id", F.coalesce(F.try_divide(F.size(F.array_intersect("a", "b")), F.size(F.array_union("a", "b"))), F.lit(0.0)).alias("similarity"))
+    shared = F.size(F.array_intersect("a", "b"))
+    return both.select("doc_id", F.coalesce(F.try_divide(shared, F.size("a") + F.size("b") - shared), F.lit(0.0)).alias("similarity"))
 
 
 def tiers(surfaces: DataFrame) -> DataFrame:

@@ -63,3 +63,8 @@ def test_stable_characters_are_stable(spark):
     texts = ["plain", "é “x” – €", "ﬁ", "e\u0301", "x²", None, "Ａ" * 300_000]
     rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", canonical.nfkc("t").alias("t")).orderBy("i").collect()
     assert [r["t"] for r in rows] == [t and unicodedata.normalize("NFKC", t) for t in texts]
+
+
+def test_word_sets_are_made_in_their_row(spark, small):
+    plan = plan_of(registry.QUERIES["jaccard"](spark, small))
+    assert "explode" not in plan and "collect_set" not in plan

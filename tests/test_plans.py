@@ -68,3 +68,10 @@ def test_stable_characters_are_stable(spark):
 def test_word_sets_are_made_in_their_row(spark, small):
     plan = plan_of(registry.QUERIES["jaccard"](spark, small))
     assert "explode" not in plan and "collect_set" not in plan
+
+
+@pytest.mark.parametrize("name", ["canonical_text", "canonical_rules"])
+def test_canonical_texts_pass_by_pandas(spark, small, name):
+    """NFKC reads Arrow arrays in small parts, over documents that are dealt out."""
+    df = registry.QUERIES[name](spark, small)
+    assert "translate(" in plan_of(df) and df.rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism

@@ -78,12 +78,13 @@ def table_row(text: str) -> str:
     return rf"(contains({text}, '\t') OR (size(filter(split({text}, '(?U)\\s+'), w -> w <> '')) <= 6 AND NOT regexp_replace({text}, '(?U)\\s+$', '') rlike '[.!?]$'))"
 
 
+_CONTROLS = re.compile("[\x1c-\x1f]")  # white space for Python's `split` alone
 _GAPS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
 
 def is_row(text: str) -> bool:
     """As `table_row`."""
-    words = [w for w in _GAPS.split(text) if w]
+    words = [w for w in _GAPS.split(text) if w] if _CONTROLS.search(text) else text.split()
     return "\t" in text or len(words) <= 6 and not (words and words[-1][-1] in ".!?")
 
 

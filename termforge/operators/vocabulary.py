@@ -23,6 +23,7 @@ SEGMENTS, LONG = 11, 13
 MOST = 60_000
 _APOSTROPHES = str.maketrans(dict.fromkeys("’ʼ＇", "'"))
 _SEPARATORS = re.compile(r"[-_/.+]")
+_LAST = frozenset("'sdgen")  # of endings that are undone
 _AMERICAN = (("ise", "ize"), ("isation", "ization"), ("ised", "ized"), ("ising", "izing"))
 
 
@@ -47,7 +48,9 @@ class Lists:
 
     def has_common(self, form: str) -> bool:
         """Whether the form is listed, or one that undoing its ending leads to, or the lemma of an irregular form."""
-        return form in self.common or form in self.irregular or any(len(k) >= 2 and k in self.common for f in (form, *base_forms(form)) if len(f) >= 2 or f == form for k in (f, american(f)) if k)
+        if form in self.common or form in self.irregular:
+            return True
+        return form[-1:] in _LAST and any(len(k) >= 2 and k in self.common for f in (form, *base_forms(form)) if len(f) >= 2 or f == form for k in (f, american(f)) if k)
 
 
 NOTHING = Lists(frozenset(), frozenset(), frozenset(), frozenset())
@@ -77,6 +80,9 @@ def american(w: str) -> str | None:
 
 def shape(token: str) -> int:
     """Flags that need no list."""
+    if token.isascii() and token.isalpha() and token[1:].islower():  # most words
+        n = len(token)
+        return TWO | LETTER | SMALL | (0 if token[0].islower() else LARGE) | (0 if n <= 12 else 1 if n <= 17 else 2) << LONG
     known = classes.of_code()
     kinds = [known[ord(c)] for c in token]
     every = inner = 0
@@ -109,7 +115,7 @@ class Vocabulary(dict):
         low = classes.lowered(token)
         listed = self.lows.get(low)
         if listed is None:
-            form = low.translate(_APOSTROPHES)
+            form = low if low.isascii() else low.translate(_APOSTROPHES)
             listed = (COMMON if self.lists.has_common(form) else 0) | (FREQUENT if low == form and low in self.lists.frequent else 0) | (STOP if form in self.lists.stopwords else 0)
             self.lows[low] = listed
         told = self[token] = (low, shape(token) | listed)
